@@ -26,8 +26,8 @@ CATEGORICAL = [
 ]
 NUMERICAL = ["tenure", "MonthlyCharges"]
 # Wider numeric list scaled in the preprocessing notebook.
-NUMERICAL_WIDE = ["tenure", "MonthlyCharges", "TotalCharges", "charge_ratio",
-                  "charges_difference", "total_services"]
+NUMERICAL_WIDE = ["tenure", "MonthlyCharges", "charge_ratio", "charges_difference",
+                  "total_services"]
 
 SERVICE_COLS = ["OnlineSecurity", "OnlineBackup", "DeviceProtection",
                 "TechSupport", "StreamingTV", "StreamingMovies"]
