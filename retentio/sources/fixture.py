@@ -108,3 +108,20 @@ def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("2.0.0").alias("model_version"),
         F.col("ts").alias("predicted_at"),
     )
+
+
+LOAD_TIME = "2024-01-01 00:00:00"
+FEED_TIME = "2024-02-01 00:00:00"
+
+
+def upsert_feed(customers: DataFrame) -> DataFrame:
+    """A later snapshot of the customer table, derived from the data itself.
+
+    Long-tenured customers (tenure > 60) come back with ``Contract`` cleared
+    (proves replace-with-null); senior customers come back under new keys
+    (``key + 1000000``), which the upsert must insert.
+    """
+    updates = customers.where(F.col("tenure") > 60).withColumn("Contract", F.lit(None).cast("string"))
+    new = (customers.where(F.col("SeniorCitizen") == 1)
+           .withColumn("customerID", (F.col("customerID").cast("bigint") + 1000000).cast("string")))
+    return updates.unionByName(new)
