@@ -77,8 +77,11 @@ class EncoderState:
     feature_columns: list[str] = field(default_factory=list)
 
     # -- apply -------------------------------------------------------------
-    def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """Encode + scale + align to ``feature_columns`` (missing -> 0, extra dropped)."""
+    def transform(self, df: DataFrame, keep: Sequence[str] = (), positional: bool = False) -> DataFrame:
+        """Encode + scale + align to ``feature_columns`` (missing -> 0, extra dropped).
+
+        ``positional=True`` names the outputs ``__f<i>`` so kept columns can share names.
+        """
         exprs = {}
         for c in self.passthrough:
             if c in df.columns:
@@ -95,17 +98,18 @@ class EncoderState:
             for v in values:
                 exprs[f"{c}_{v}"] = F.when(text == v, F.lit(1.0)).otherwise(F.lit(0.0))
         out = [F.col(k) for k in keep if k in df.columns]
-        for name in self.feature_columns:
-            out.append((exprs[name] if name in exprs else F.lit(0.0)).alias(name))
+        for i, name in enumerate(self.feature_columns):
+            out.append((exprs[name] if name in exprs else F.lit(0.0))
+                       .alias(f"__f{i}" if positional else name))
         return df.select(*out)
 
     def vector(self, df: DataFrame, keep: Sequence[str] = (), output: str = "features") -> DataFrame:
         """FE13: encoded columns assembled into one MLlib vector column."""
         from pyspark.ml.feature import VectorAssembler
-        enc = self.transform(df, keep)
-        va = VectorAssembler(inputCols=list(self.feature_columns), outputCol=output,
-                             handleInvalid="keep")
-        return va.transform(enc).select(*[k for k in keep if k in enc.columns], output)
+        enc = self.transform(df, keep, positional=True)
+        cols = [f"__f{i}" for i in range(len(self.feature_columns))]
+        va = VectorAssembler(inputCols=cols, outputCol=output, handleInvalid="keep")
+        return va.transform(enc).drop(*cols)
 
     # -- persistence (SNK5) ------------------------------------------------
     def to_json(self) -> str:

@@ -1 +1,142 @@
-"""Queries (filled in below)."""
+"""Model training, scoring and attribution queries (rows-only checks).
+
+Models are fitted on the hash split's train rows of the full derived table
+and evaluated on its test rows. Fitted models are memoised per session and
+data folder so dependent queries (importance, scoring, attributions) reuse
+one fit instead of training again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import evaluate as EV
+from ..operators import explain as EX
+from ..operators import models as M
+from ..operators import split as SP
+from . import common as C
+from .catalog import register
+
+_CACHE: dict = {}
+
+
+def _splits(spark, sf_dir):
+    key = (id(spark), sf_dir, "splits")
+    if key not in _CACHE:
+        f = C.features(spark, sf_dir)
+        s = SP.assign_split(f, "customerID").persist()
+        _CACHE[key] = (s.where(F.col("split") == "train").drop("split"),
+                       s.where(F.col("split") == "test").drop("split"))
+    return _CACHE[key]
+
+
+def _model(spark, sf_dir, task: str, kind: str, **overrides):
+    key = (id(spark), sf_dir, task, kind, tuple(sorted(overrides.items())))
+    if key not in _CACHE:
+        train, _ = _splits(spark, sf_dir)
+        fit = M.train_churn if task == "churn" else M.train_ltv
+        _CACHE[key] = fit(train, kind, **overrides)
+    return _CACHE[key]
+
+
+def _test_scores(spark, sf_dir, kind: str, **overrides):
+    _, test = _splits(spark, sf_dir)
+    m = _model(spark, sf_dir, "churn", kind, **overrides)
+    s = M.score_churn(m, test)
+    return s.select("customerID", F.col("Churn").alias("label"),
+                    F.round("churn_probability", 4).alias("churn_probability"),
+                    F.col("churn_prediction").alias("prediction"), F.col("churn_probability").alias("__p"))
+
+
+@register("churn_lr")
+def churn_lr(spark, sf_dir):
+    """MDL5: logistic regression (MLlib optimiser, no regularisation)."""
+    return _test_scores(spark, sf_dir, "lr").drop("__p")
+
+
+@register("churn_rf_stumps")
+def churn_rf_stumps(spark, sf_dir):
+    """MDL6: 100 bagged depth-1 trees on sqrt(features)."""
+    return _test_scores(spark, sf_dir, "rf").drop("__p")
+
+
+@register("churn_gbt")
+def churn_gbt(spark, sf_dir):
+    """MDL1/MDL3: boosted trees with the reference settings (100 x depth 6, lr 0.1)."""
+    return _test_scores(spark, sf_dir, "gbt").drop("__p")
+
+
+@register("churn_gbt_baseline")
+def churn_gbt_baseline(spark, sf_dir):
+    """MDL7: the depth-4 baseline booster."""
+    return _test_scores(spark, sf_dir, "gbt", maxDepth=M.BASELINE_GBT_DEPTH).drop("__p")
+
+
+@register("ltv_gbt")
+def ltv_gbt(spark, sf_dir):
+    """MDL2/MDL4: spend regressor; test rows with actual, predicted and residual."""
+    _, test = _splits(spark, sf_dir)
+    m = _model(spark, sf_dir, "ltv", "gbt")
+    s = M.score_ltv(m, test)
+    return s.select("customerID", F.col("TotalCharges").alias("actual"),
+                    F.round("ltv_prediction", 2).alias("predicted"),
+                    F.round(F.col("ltv_prediction") - F.col("TotalCharges"), 2).alias("residual"))
+
+
+@register("ltv_metrics")
+def ltv_metrics(spark, sf_dir):
+    """EVL6 on the spend model's test predictions."""
+    s = ltv_gbt(spark, sf_dir)
+    return EV.regression_metrics(s, "actual", "predicted").select(*[C.r6(c) for c in ("mae", "mse", "rmse", "r2")])
+
+
+@register("model_comparison")
+def model_comparison(spark, sf_dir):
+    """MDL9: accuracy and ROC-AUC per model on the same test rows."""
+    out = None
+    for name, kind in (("LogisticRegression", "lr"), ("RandomForestStumps", "rf"), ("GBT", "gbt")):
+        s = _test_scores(spark, sf_dir, kind)
+        row = (EV.accuracy(s).crossJoin(EV.roc_auc(s, "label", "__p"))
+               .select(F.lit(name).alias("model"), C.r6("accuracy"), C.r6("roc_auc")))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("feature_importance")
+def feature_importance(spark, sf_dir):
+    """MDL10 / TOP1: the 15 most important features of the churn booster."""
+    m = _model(spark, sf_dir, "churn", "gbt")
+    imp = spark.createDataFrame(m.importances(), "feature string, importance double")
+    return imp.orderBy(F.desc("importance"), "feature").limit(15)
+
+
+@register("score_customers")
+def score_customers(spark, sf_dir):
+    """SCO3/SCO4: every customer scored by both models, tiered, with the true label."""
+    churn = _model(spark, sf_dir, "churn", "gbt")
+    ltv = _model(spark, sf_dir, "ltv", "gbt")
+    df = C.features(spark, sf_dir)
+    s = M.score_customers(churn, ltv, df)
+    return s.join(df.select("customerID", F.col("Churn").alias("actual_churn")), "customerID")
+
+
+@register("linear_attributions")
+def linear_attributions(spark, sf_dir):
+    """EXP1 (linear): exact per-row attributions of the logistic model, long form."""
+    train, test = _splits(spark, sf_dir)
+    m = _model(spark, sf_dir, "churn", "lr")
+    return EX.linear_attributions(m, train, test)
+
+
+@register("mean_abs_attribution")
+def mean_abs_attribution(spark, sf_dir):
+    """EXP2 / TOP2: mean |attribution| per feature, top 15."""
+    return EX.mean_abs_attribution(linear_attributions(spark, sf_dir))
+
+
+@register("attribution_waterfall")
+def attribution_waterfall(spark, sf_dir):
+    """EXP3: base value, 12 largest contributions and the rest for the top-risk customer."""
+    s = _test_scores(spark, sf_dir, "lr")
+    top = s.orderBy(F.desc("__p"), "customerID").limit(1)
+    return EX.waterfall(linear_attributions(spark, sf_dir), top)
