@@ -1 +1,95 @@
-"""Queries (filled in below)."""
+"""Streaming queries: each runs a Structured Streaming job over files staged
+from the given tables (availableNow trigger) and returns the sink's result,
+which must equal the batch computation (same oracle SQL where one exists)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.clean import to_db_columns
+from ..sources import fixture
+from ..streaming import stream as ST
+from . import common as C
+from .catalog import register
+from .oracle_sql import with_log
+from .q_quality import _UPSERT_SQL, _upsert_body
+from .oracle_sql import with_clean
+
+_ACTIVITY_SQL = with_log("""
+SELECT strftime(date_trunc('day', predicted_at), '%Y-%m-%d %H:%M:%S') AS window_start,
+       CASE WHEN churn_probability >= 0.65 THEN 'HIGH' WHEN churn_probability >= 0.35 THEN 'MEDIUM'
+            ELSE 'LOW' END AS churn_risk_tier,
+       COUNT(*) AS predictions, ROUND(AVG(churn_probability), 6) AS avg_probability
+FROM lg GROUP BY 1, 2""")
+
+
+def _activity_out(df):
+    return df.select(F.date_format(F.col("w.start"), "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                     "churn_risk_tier", "predictions", C.r6("avg_probability"))
+
+
+@register("prediction_activity", _ACTIVITY_SQL)
+def prediction_activity(spark, sf_dir):
+    """STR2 (batch form): predictions per day and tier."""
+    return _activity_out(ST.activity(C.log(spark, sf_dir)))
+
+
+@register("stream_activity", _ACTIVITY_SQL)
+def stream_activity(spark, sf_dir):
+    """STR2: the same windows from a watermarked stream of log files."""
+    run = ST.run_folder(spark, "activity")
+    log = C.log(spark, sf_dir)
+    ST.stage_files(log, f"{run}/source")
+    stream = ST.file_stream(spark, f"{run}/source", log.schema)
+    ST.aggregate_stream(ST.activity(stream), f"{run}/sink", f"{run}/checkpoint", "stream_activity")
+    return _activity_out(ST.latest_version(spark, f"{run}/sink"))
+
+
+@register("stream_tier_kpis", with_log("""
+SELECT CASE WHEN churn_probability >= 0.65 THEN 'HIGH' WHEN churn_probability >= 0.35 THEN 'MEDIUM'
+            ELSE 'LOW' END AS churn_risk_tier,
+       COUNT(*) AS customers, ROUND(AVG(ltv_prediction), 6) AS avg_ltv,
+       ROUND(AVG(churn_probability), 6) AS avg_churn_probability
+FROM lg GROUP BY 1"""))
+def stream_tier_kpis(spark, sf_dir):
+    """STR3: live per-tier KPIs maintained from a stream of log files."""
+    run = ST.run_folder(spark, "tiers")
+    log = C.log(spark, sf_dir)
+    ST.stage_files(log, f"{run}/source")
+    stream = ST.file_stream(spark, f"{run}/source", log.schema)
+    ST.aggregate_stream(ST.tier_kpis(stream), f"{run}/sink", f"{run}/checkpoint", "stream_tier_kpis")
+    out = ST.latest_version(spark, f"{run}/sink")
+    return out.select("churn_risk_tier", "customers", C.r6("avg_ltv"), C.r6("avg_churn_probability"))
+
+
+@register("stream_upsert", with_clean(f"WITH {_UPSERT_SQL}\n{_upsert_body()}"))
+def stream_upsert(spark, sf_dir):
+    """STR4: the customer feed applied batch by batch; the final table equals the batch upsert."""
+    run = ST.run_folder(spark, "upsert")
+    c = C.customers(spark, sf_dir)
+    target = to_db_columns(c).withColumn("ingested_at", F.lit(fixture.LOAD_TIME).cast("timestamp_ntz"))
+    feed = to_db_columns(fixture.upsert_feed(c)).withColumn(
+        "ingested_at", F.lit(fixture.FEED_TIME).cast("timestamp_ntz"))
+    ST.write_version(spark, target, f"{run}/table", 0)
+    ST.stage_files(feed, f"{run}/source")
+    stream = ST.file_stream(spark, f"{run}/source", feed.schema)
+    ST.upsert_stream(spark, stream, f"{run}/table", "customer_id", f"{run}/checkpoint",
+                     keep_first=["ingested_at"])
+    out = ST.latest_version(spark, f"{run}/table")
+    return out.withColumn("monthly_charges", C.r6("monthly_charges")) \
+        .withColumn("total_charges", C.r6("total_charges"))
+
+
+@register("stream_scores")
+def stream_scores(spark, sf_dir):
+    """STR1: customers arriving as files are scored and appended to the log, batch-idempotent."""
+    from ..operators import models as M
+    from .q_models import _model
+    churn = _model(spark, sf_dir, "churn", "gbt")
+    ltv = _model(spark, sf_dir, "ltv", "gbt")
+    run = ST.run_folder(spark, "scores")
+    f = C.features(spark, sf_dir)
+    ST.stage_files(f, f"{run}/source")
+    stream = ST.file_stream(spark, f"{run}/source", f.schema)
+    ST.score_stream(stream, lambda b: M.score_customers(churn, ltv, b), f"{run}/sink", f"{run}/checkpoint")
+    return spark.read.parquet(f"{run}/sink").drop("predicted_at")
