@@ -75,6 +75,7 @@ class EncoderState:
     stats: dict[str, tuple[float, float]] = field(default_factory=dict)
     passthrough: list[str] = field(default_factory=list)
     feature_columns: list[str] = field(default_factory=list)
+    fill: dict[str, float] = field(default_factory=dict)
 
     # -- apply -------------------------------------------------------------
     def transform(self, df: DataFrame, keep: Sequence[str] = (), positional: bool = False) -> DataFrame:
@@ -86,6 +87,9 @@ class EncoderState:
         for c in self.passthrough:
             if c in df.columns:
                 value = F.col(c).cast("double")
+                if c in self.fill:
+                    # MLlib vectors take no NaN: a missing value becomes the training mean
+                    value = F.coalesce(F.when(~F.isnan(value), value), F.lit(self.fill[c]))
                 if c in self.stats:
                     mean, std = self.stats[c]
                     std = std if (std is not None and not math.isnan(std) and std > 0) else 1.0
@@ -116,13 +120,14 @@ class EncoderState:
         return json.dumps({"categories": self.categories,
                            "stats": {k: list(v) for k, v in self.stats.items()},
                            "passthrough": self.passthrough,
-                           "feature_columns": self.feature_columns})
+                           "feature_columns": self.feature_columns,
+                           "fill": self.fill})
 
     @staticmethod
     def from_json(text: str) -> "EncoderState":
         d = json.loads(text)
         return EncoderState(d["categories"], {k: tuple(v) for k, v in d["stats"].items()},
-                            d["passthrough"], d["feature_columns"])
+                            d["passthrough"], d["feature_columns"], d.get("fill", {}))
 
     def save(self, spark, path: str) -> None:
         """Write the fit state as a one-row table (works on any shared filesystem)."""
@@ -160,9 +165,13 @@ def fit_encoder(df: DataFrame, categorical: Sequence[str], numerical: Sequence[s
         for c in cats:
             cats[c].sort()
     stats: dict[str, tuple[float, float]] = {}
-    if num:
-        for r in scale_stats(df, num).collect():
-            stats[r["column"]] = (r["mean"], r["std"] if r["std"] is not None else float("nan"))
+    fill: dict[str, float] = {}
+    if passthrough:
+        # one aggregate: mean of every numeric column (null fill), std of the scaled ones
+        for r in scale_stats(df, passthrough).collect():
+            fill[r["column"]] = r["mean"] if r["mean"] is not None else 0.0
+            if r["column"] in num:
+                stats[r["column"]] = (r["mean"], r["std"] if r["std"] is not None else float("nan"))
     features = list(passthrough) + [f"{c}_{v}" for c in enc_cols for v in cats[c]]
-    return EncoderState(cats, stats, passthrough, features)
+    return EncoderState(cats, stats, passthrough, features, fill)
 

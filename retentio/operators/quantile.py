@@ -29,10 +29,9 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 _X = "__qx"
-_TID = "__tid"
 
 
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join on ``keys``; keeps the left key columns only."""
     if not keys:
         # right is one row (a global aggregate): a provably one-row broadcast
@@ -43,7 +42,7 @@ def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     for k in keys:
         c = left[k].eqNullSafe(r[f"__r_{k}"])
         cond = c if cond is None else cond & c
-    return left.join(r, cond).drop(*[f"__r_{k}" for k in keys])
+    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def _select_ranks(data: DataFrame, keys: list[str], targets: DataFrame, n_targets: int,
@@ -54,6 +53,7 @@ def _select_ranks(data: DataFrame, keys: list[str], targets: DataFrame, n_target
     ``data``: keys + ``__qx`` (non-null). ``targets``: keys + ``__n`` (row
     count of the key) + ``r_0..r_{T-1}``. Returns keys + ``v_0..v_{T-1}``.
     """
+    TID = f"__tid{depth}"  # one tag column per recursion level
     probs = [i / grid for i in range(grid + 1)]
     sketch = data.groupBy(*keys).agg(F.percentile_approx(_X, probs, accuracy).alias("__grid"))
     tg = _join(targets, sketch, keys) if keys else targets.crossJoin(sketch)
@@ -82,8 +82,8 @@ def _select_ranks(data: DataFrame, keys: list[str], targets: DataFrame, n_target
         *[F.sum(F.when(in_band(t), 1).otherwise(0)).alias(f"m_{t}") for t in range(n_targets)],
     )
     band = (joined.select(*keys, x, F.explode(F.array(*[
-                F.when(in_band(t), F.lit(t)) for t in range(n_targets)])).alias(_TID))
-            .where(F.col(_TID).isNotNull()))
+                F.when(in_band(t), F.lit(t)) for t in range(n_targets)])).alias(TID))
+            .where(F.col(TID).isNotNull()))
 
     # Verify the sketch brackets: rows below the band <= r < rows up to the band's end.
     check = _join(below, targets.select(*keys, *[f"r_{t}" for t in range(n_targets)]), keys)
@@ -91,9 +91,9 @@ def _select_ranks(data: DataFrame, keys: list[str], targets: DataFrame, n_target
     for t in range(n_targets):
         r, b, m = F.col(f"r_{t}"), F.col(f"b_{t}"), F.col(f"m_{t}")
         bad = bad | (b > r) | (b + m <= r)
-    hist = band.groupBy(*keys, _TID, _X).agg(F.count(F.lit(1)).alias("__c"))
+    hist = band.groupBy(*keys, TID, _X).agg(F.count(F.lit(1)).alias("__c"))
     hist = cut_lineage(hist)
-    sizes = hist.groupBy(*keys, _TID).count()
+    sizes = hist.groupBy(*keys, TID).count()
     diag = (check.agg(F.max(bad.cast("int")).alias("bad"))
             .crossJoin(sizes.agg(F.max("count").alias("widest"))).first())
     if diag["bad"]:
@@ -103,14 +103,14 @@ def _select_ranks(data: DataFrame, keys: list[str], targets: DataFrame, n_target
 
     # Rank of each target inside its band.
     rel = below.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(t).alias(_TID), F.col(f"b_{t}").alias("__b")) for t in range(n_targets)
+        F.struct(F.lit(t).alias(TID), F.col(f"b_{t}").alias("__b")) for t in range(n_targets)
     ])).alias("__s")).select(*keys, "__s.*")
     rel = _join(rel, targets.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(t).alias("__t2"), F.col(f"r_{t}").alias("__r")) for t in range(n_targets)
-    ])).alias("__s")).select(*keys, "__s.*"), keys).where(F.col(_TID) == F.col("__t2"))
-    rel = rel.select(*keys, _TID, (F.col("__r") - F.col("__b")).alias("__rr"))
+    ])).alias("__s")).select(*keys, "__s.*"), keys).where(F.col(TID) == F.col("__t2"))
+    rel = rel.select(*keys, TID, (F.col("__r") - F.col("__b")).alias("__rr"))
 
-    bkeys = [*keys, _TID]
+    bkeys = [*keys, TID]
     if diag["widest"] is not None and diag["widest"] > band_limit and depth < 8:
         sub_data = band.select(*bkeys, _X)
         sub_targets = _join(rel, band.groupBy(*bkeys).agg(F.count(F.lit(1)).alias("__n")), bkeys)
@@ -124,10 +124,22 @@ def _select_ranks(data: DataFrame, keys: list[str], targets: DataFrame, n_target
         picked = (h.where((F.col("__cum") > F.col("__rr")) & (F.col("__cum") - F.col("__c") <= F.col("__rr")))
                   .select(*bkeys, F.col(_X).alias("__v")))
     return picked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col(_TID) == t, F.col("__v"))).alias(f"v_{t}") for t in range(n_targets)
+        F.max(F.when(F.col(TID) == t, F.col("__v"))).alias(f"v_{t}") for t in range(n_targets)
     ])
 
 
+def _select_small(data: DataFrame, keys: list[str], targets: DataFrame, n_targets: int) -> DataFrame:
+    """Rank selection when each group has at most ``band_limit`` rows (checked by the caller)."""
+    hist = data.groupBy(*keys, _X).agg(F.count(F.lit(1)).alias("__c"))
+    w = (Window.partitionBy(*keys).orderBy(_X)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    h = _join(hist, targets, keys).withColumn("__cum", F.sum("__c").over(w))
+    hit = [(F.col("__cum") > F.col(f"r_{t}")) & (F.col("__cum") - F.col("__c") <= F.col(f"r_{t}"))
+           for t in range(n_targets)]
+    return h.groupBy(*keys).agg(*[F.max(F.when(hit[t], F.col(_X))).alias(f"v_{t}")
+                                  for t in range(n_targets)])
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     by: Sequence[str] = (), names: Sequence[str] | None = None,
                     accuracy: int = 10000, grid: int = 200,
@@ -148,7 +160,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
         rank_cols.append(F.floor(pos).cast("long").alias(f"r_{2 * i}"))
         rank_cols.append(F.ceil(pos).cast("long").alias(f"r_{2 * i + 1}"))
     targets = counts.select(*keys, "__n", *rank_cols)
-    vals = _select_ranks(data, keys, targets, 2 * len(probs), accuracy, grid, band_limit)
+    n_max = counts.agg(F.max("__n")).first()[0] or 0
+    if n_max <= band_limit:
+        # every group already fits the band bound: one sorted pass, no sketch
+        vals = _select_small(data, keys, targets, 2 * len(probs))
+    else:
+        vals = _select_ranks(data, keys, targets, 2 * len(probs), accuracy, grid, band_limit)
     res = _join(targets, vals, keys) if keys else targets.crossJoin(vals)
     out = []
     for i, p in enumerate(probs):
@@ -159,7 +176,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     if keys:
         # groups with only null values still appear, with null quantiles
         groups = df.select(*keys).distinct()
-        result = _join(groups, result, keys)
+        result = _join(groups, result, keys, "left")
     else:
         result = df.sparkSession.range(1).select(
             *[F.lit(None).cast("double").alias(n) for n in names]).limit(0).unionByName(result)
