@@ -140,3 +140,16 @@ def attribution_waterfall(spark, sf_dir):
     s = _test_scores(spark, sf_dir, "lr")
     top = s.orderBy(F.desc("__p"), "customerID").limit(1)
     return EX.waterfall(linear_attributions(spark, sf_dir), top)
+
+
+@register("churn_cv")
+def churn_cv(spark, sf_dir):
+    """MDL8: 3-fold grid search (depth x trees x rate) with early stopping; one row per setting."""
+    train, _ = _splits(spark, sf_dir)
+    best, results = M.grid_search(train)
+    key = (id(spark), sf_dir, "churn", "cv")
+    _CACHE[key] = best
+    rows = [(r["maxDepth"], r["maxIter"], float(r["stepSize"]), auc,
+             all(best.params.get(k) == v for k, v in r.items())) for r, auc in results]
+    return spark.createDataFrame(rows, "max_depth int, max_iter int, step_size double, "
+                                       "mean_auc double, is_best boolean")
