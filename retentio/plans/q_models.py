@@ -153,3 +153,17 @@ def churn_cv(spark, sf_dir):
              all(best.params.get(k) == v for k, v in r.items())) for r, auc in results]
     return spark.createDataFrame(rows, "max_depth int, max_iter int, step_size double, "
                                        "mean_auc double, is_best boolean")
+
+
+@register("tree_attributions")
+def tree_attributions(spark, sf_dir):
+    """EXP1/EXP4 (trees): exact path-dependent attributions of the churn booster, long form."""
+    from ..operators.tree_explain import tree_attributions as TA
+    _, test = _splits(spark, sf_dir)
+    return TA(_model(spark, sf_dir, "churn", "gbt"), test)
+
+
+@register("mean_abs_tree_attribution")
+def mean_abs_tree_attribution(spark, sf_dir):
+    """EXP2 (trees): mean |attribution| per feature of the booster, top 15."""
+    return EX.mean_abs_attribution(tree_attributions(spark, sf_dir))
