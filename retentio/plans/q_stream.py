@@ -19,7 +19,7 @@ _ACTIVITY_SQL = with_log("""
 SELECT strftime(date_trunc('day', predicted_at), '%Y-%m-%d %H:%M:%S') AS window_start,
        CASE WHEN churn_probability >= 0.65 THEN 'HIGH' WHEN churn_probability >= 0.35 THEN 'MEDIUM'
             ELSE 'LOW' END AS churn_risk_tier,
-       COUNT(*) AS predictions, ROUND(AVG(churn_probability), 6) AS avg_probability
+       COUNT(*) AS predictions, ROUND(AVG(CAST(churn_probability AS DECIMAL(20,12))), 6) AS avg_probability
 FROM lg GROUP BY 1, 2""")
 
 
@@ -48,8 +48,8 @@ def stream_activity(spark, sf_dir):
 @register("stream_tier_kpis", with_log("""
 SELECT CASE WHEN churn_probability >= 0.65 THEN 'HIGH' WHEN churn_probability >= 0.35 THEN 'MEDIUM'
             ELSE 'LOW' END AS churn_risk_tier,
-       COUNT(*) AS customers, ROUND(AVG(ltv_prediction), 6) AS avg_ltv,
-       ROUND(AVG(churn_probability), 6) AS avg_churn_probability
+       COUNT(*) AS customers, ROUND(AVG(CAST(ltv_prediction AS DECIMAL(20,12))), 6) AS avg_ltv,
+       ROUND(AVG(CAST(churn_probability AS DECIMAL(20,12))), 6) AS avg_churn_probability
 FROM lg GROUP BY 1"""))
 def stream_tier_kpis(spark, sf_dir):
     """STR3: live per-tier KPIs maintained from a stream of log files."""

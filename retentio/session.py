@@ -4,7 +4,7 @@ On a cluster the session is created by the platform; ``configure`` only
 adds the SQL settings this library relies on (AQE, UTC, ANSI-safe casts are
 used explicitly in the code). ``checkpoint_dir`` reads the shared folder the
 cluster names in ``spark.checkpoint.dir`` and only invents one when it is
-unset, which is the local/test case.
+unset on a local master (tests); on a cluster an unset folder is an error.
 """
 
 from __future__ import annotations
@@ -56,6 +56,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir:
         conf_dir = spark.sparkContext.getCheckpointDir()
     if not conf_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            # a machine-local folder would not survive executor loss on a cluster
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS) on a cluster")
         conf_dir = tempfile.mkdtemp(prefix="retentio-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if not spark.sparkContext.getCheckpointDir():
