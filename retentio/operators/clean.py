@@ -42,12 +42,14 @@ def training_median(df: DataFrame, col: str = "TotalCharges") -> DataFrame:
     return exact_median(coerce_total(df, col), col, name="median")
 
 
-def clean(df: DataFrame, impute: str = "median", median: DataFrame | None = None,
+def clean(df: DataFrame, impute: str = "median", median: DataFrame | float | None = None,
           col: str = "TotalCharges") -> DataFrame:
     """CLN1-5. ``impute``: "median" (training pipeline) or "zero" (API variant).
 
-    ``median``: a one-row DataFrame with column ``median`` (the training value);
-    computed from ``df`` when not given.
+    ``median``: the training value, as a number or a one-row DataFrame with
+    column ``median``; computed from ``df`` when not given. It is a scalar fit
+    state, so it is resolved once here and applied as a literal: later actions
+    on the cleaned frame do not re-run the quantile search.
     """
     out = coerce_total(df, col)
     if col in out.columns:
@@ -55,10 +57,10 @@ def clean(df: DataFrame, impute: str = "median", median: DataFrame | None = None
             out = out.withColumn(col, F.coalesce(F.col(col), F.lit(0.0)))
         elif impute == "median":
             med = median if median is not None else exact_median(out, col, name="median")
-            # one-row scalar table: a provably tiny broadcast
-            out = (out.crossJoin(F.broadcast(med.select(F.col("median").alias("__median"))))
-                   .withColumn(col, F.coalesce(F.col(col), F.col("__median")))
-                   .drop("__median"))
+            if isinstance(med, DataFrame):
+                med = med.select("median").first()[0]  # one row, one value
+            fill = F.lit(None).cast("double") if med is None else F.lit(float(med))
+            out = out.withColumn(col, F.coalesce(F.col(col), fill))
         elif impute is not None:
             raise ValueError(f"unknown impute policy {impute!r}")
     return map_churn(out)

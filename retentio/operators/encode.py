@@ -19,6 +19,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,23 +156,31 @@ def fit_encoder(df: DataFrame, categorical: Sequence[str], numerical: Sequence[s
 
     enc_cols = cat + extra
     cats: dict[str, list[str]] = {c: [] for c in enc_cols}
-    if enc_cols:
-        table = category_table(df, enc_cols)
-        n = table.count()
-        if n > MAX_CATEGORIES:
-            raise ValueError(f"{n} distinct categories exceed the fit-state bound {MAX_CATEGORIES}")
-        for r in table.select("column", "value").collect():
-            cats[r["column"]].append(r["value"])
-        for c in cats:
-            cats[c].sort()
-    stats: dict[str, tuple[float, float]] = {}
-    fill: dict[str, float] = {}
-    if passthrough:
-        # one aggregate: mean of every numeric column (null fill), std of the scaled ones
-        for r in scale_stats(df, passthrough).collect():
-            fill[r["column"]] = r["mean"] if r["mean"] is not None else 0.0
-            if r["column"] in num:
-                stats[r["column"]] = (r["mean"], r["std"] if r["std"] is not None else float("nan"))
+    # two passes over the input (categories, stats): keep it for the fit, as MLlib estimators do
+    persisted_here = not df.storageLevel.useMemory and not df.storageLevel.useDisk
+    if persisted_here:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if enc_cols:
+            # the bound is checked by the same job that fetches the table: at most MAX + 1 rows move
+            rows = category_table(df, enc_cols).select("column", "value").limit(MAX_CATEGORIES + 1).collect()
+            if len(rows) > MAX_CATEGORIES:
+                raise ValueError(f"more than {MAX_CATEGORIES} distinct categories: over the fit-state bound")
+            for r in rows:
+                cats[r["column"]].append(r["value"])
+            for c in cats:
+                cats[c].sort()
+        stats: dict[str, tuple[float, float]] = {}
+        fill: dict[str, float] = {}
+        if passthrough:
+            # one aggregate: mean of every numeric column (null fill), std of the scaled ones
+            for r in scale_stats(df, passthrough).collect():
+                fill[r["column"]] = r["mean"] if r["mean"] is not None else 0.0
+                if r["column"] in num:
+                    stats[r["column"]] = (r["mean"], r["std"] if r["std"] is not None else float("nan"))
+    finally:
+        if persisted_here:
+            df.unpersist()
     features = list(passthrough) + [f"{c}_{v}" for c in enc_cols for v in cats[c]]
     return EncoderState(cats, stats, passthrough, features, fill)
 

@@ -112,11 +112,20 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFr
     return agg.select(auc.alias("roc_auc"))
 
 
+_FIXED = "decimal(38,6)"
+
+
 def regression_metrics(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
-    """EVL6: MAE, MSE, RMSE, R2 = 1 - SSres / SStot (stable variance aggregate)."""
+    """EVL6: MAE, MSE, RMSE, R2 = 1 - SSres / SStot (stable variance aggregate).
+
+    Error sums are accumulated in fixed point (each row's term rounded to 6
+    decimals, then summed exactly), so the metrics do not change with the
+    number of partitions or the order in which partial sums are merged.
+    """
     err = F.col(predicted) - F.col(actual)
-    a = df.agg(F.avg(F.abs(err)).alias("mae"), F.avg(err * err).alias("mse"),
-               F.sum(err * err).alias("__ssr"),
+    ae, se = F.abs(err).cast(_FIXED), (err * err).cast(_FIXED)
+    a = df.agg(F.avg(ae).cast("double").alias("mae"), F.avg(se).cast("double").alias("mse"),
+               F.sum(se).cast("double").alias("__ssr"),
                (F.var_pop(F.col(actual)) * F.count(F.col(actual))).alias("__sst"))
     return a.select("mae", "mse", F.sqrt("mse").alias("rmse"),
                     F.when(F.col("__sst") > 0, 1 - F.col("__ssr") / F.col("__sst")).alias("r2"))

@@ -118,10 +118,11 @@ r AS (SELECT c."TotalCharges" AS actual, sc.ltv_prediction AS predicted
 
 @register("regression_metrics", with_clean(f"""
 WITH {_REG_SQL.replace('JOIN sc', 'JOIN (SELECT "customerID", "MonthlyCharges" * (tenure + 1) AS ltv_prediction FROM s) sc')}
-SELECT ROUND(AVG(ABS(predicted - actual)), 6) AS mae,
-       ROUND(AVG((predicted - actual) * (predicted - actual)), 6) AS mse,
-       ROUND(SQRT(AVG((predicted - actual) * (predicted - actual))), 6) AS rmse,
-       ROUND(1 - SUM((predicted - actual) * (predicted - actual)) / (VAR_POP(actual) * COUNT(actual)), 6) AS r2
+SELECT ROUND(AVG(CAST(ABS(predicted - actual) AS DECIMAL(38,6))), 6) AS mae,
+       ROUND(AVG(CAST((predicted - actual) * (predicted - actual) AS DECIMAL(38,6))), 6) AS mse,
+       ROUND(SQRT(AVG(CAST((predicted - actual) * (predicted - actual) AS DECIMAL(38,6)))), 6) AS rmse,
+       ROUND(1 - CAST(SUM(CAST((predicted - actual) * (predicted - actual) AS DECIMAL(38,6))) AS DOUBLE)
+                 / (VAR_POP(actual) * COUNT(actual)), 6) AS r2
 FROM r"""))
 def regression_metrics(spark, sf_dir):
     """EVL6: MAE, MSE, RMSE, R2 of the LTV estimate against the cleaned total."""
