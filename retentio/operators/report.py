@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import risk_tier
@@ -86,8 +86,8 @@ def kpis_filtered_vs_overall(customers: DataFrame, predicate: F.Column) -> DataF
 def churn_share(customers: DataFrame, label: str = "Churn") -> DataFrame:
     """AGG5 / AGG13: class counts and share of the total."""
     counts = customers.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())  # over the few class rows only
-    return counts.select(label, "n", (F.col("n") / total).alias("share"))
+    total = counts.agg(F.sum("n").alias("__total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select(label, "n", (F.col("n") / F.col("__total")).alias("share"))
 
 
 def crosstab_counts(customers: DataFrame, row: str, col: str = "Churn",
@@ -105,10 +105,15 @@ def rate_by(customers: DataFrame, key: str, label: str = "Churn", digits: int =
 
 
 def min_max_normalise(rates: DataFrame, value: str = "churn_pct", name: str = "norm") -> DataFrame:
-    """AGG10: (v - min) / (max - min + 1e-9) over a small grouped result."""
-    w = Window.partitionBy()
-    return rates.withColumn(name, (F.col(value) - F.min(value).over(w))
-                            / (F.max(value).over(w) - F.min(value).over(w) + F.lit(1e-9)))
+    """AGG10: (v - min) / (max - min + 1e-9).
+
+    min and max come from one global aggregate (partial per task, one row
+    out), broadcast back: no window that would pull every row into one task.
+    """
+    bounds = rates.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    return (rates.crossJoin(F.broadcast(bounds))
+            .withColumn(name, (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + F.lit(1e-9)))
+            .drop("__lo", "__hi"))
 
 
 def mean_by(df: DataFrame, key: str, value: str, name: str | None = None) -> DataFrame:
