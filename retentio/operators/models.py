@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import risk_tier
 from ..schemas import CATEGORICAL, CHURN_COL, ID_COL, LTV_TARGET, MOCK_PROBABILITY, NUMERICAL, TIER_ONLINE
+from ..session import checkpoint_dir
 from .encode import EncoderState, fit_encoder
 
 # The reference's booster settings.
@@ -28,6 +29,10 @@ CHURN_GBT = dict(maxIter=100, maxDepth=6, stepSize=0.1, subsamplingRate=0.8,
                  featureSubsetStrategy="0.8", seed=42)
 LTV_GBT = dict(maxIter=200, maxDepth=5, stepSize=0.05, subsamplingRate=0.8,
                featureSubsetStrategy="0.8", seed=42)
+# Execution settings for boosted trees (results unchanged): node ids are cached on the
+# executors instead of shipping the growing trees each level, and the per-iteration
+# state is checkpointed every 10 iterations into the shared folder.
+_TREE_EXEC = dict(cacheNodeIds=True, checkpointInterval=10)
 BASELINE_GBT_DEPTH = 4
 RF_STUMPS = dict(numTrees=100, maxDepth=1, featureSubsetStrategy="sqrt", bootstrap=True, seed=42)
 LTV_LEAKS = (LTV_TARGET, "charge_ratio", "charges_difference")
@@ -84,6 +89,10 @@ class FittedModel:
                            model, meta.get("params", {}))
 
 
+def _exec(kind: str) -> dict:
+    return _TREE_EXEC if kind in ("gbt", "rf") else {}
+
+
 def _feature_frame(df: DataFrame, task: str) -> DataFrame:
     drop = [ID_COL, CHURN_COL]
     if task == "ltv":
@@ -96,10 +105,11 @@ def train_churn(train: DataFrame, kind: str = "gbt", categorical=CATEGORICAL, nu
     """MDL1/3/5/6/7: fit the encoder on the training rows, then the classifier."""
     cls, _, defaults = _CLASSIFIERS[kind]
     params = {**defaults, **overrides}
+    checkpoint_dir(train.sparkSession)  # MLlib checkpoints only when the context has a folder
     x = _feature_frame(train, "churn")
     enc = fit_encoder(x, categorical, numerical)
     data = enc.vector(train, keep=[CHURN_COL]).withColumnRenamed(CHURN_COL, "label")
-    model = cls(featuresCol="features", labelCol="label", **params).fit(data)
+    model = cls(featuresCol="features", labelCol="label", **params, **_exec(kind)).fit(data)
     return FittedModel("churn", kind, enc, model, params)
 
 
@@ -108,10 +118,11 @@ def train_ltv(train: DataFrame, kind: str = "gbt", categorical=CATEGORICAL, nume
     """MDL2/4: spend regressor on TotalCharges; target and its derivatives never features."""
     reg, _, defaults = _REGRESSORS[kind]
     params = {**defaults, **overrides}
+    checkpoint_dir(train.sparkSession)
     x = _feature_frame(train, "ltv")
     enc = fit_encoder(x, categorical, [c for c in numerical if c not in LTV_LEAKS])
     data = enc.vector(train, keep=[LTV_TARGET]).withColumn("label", F.col(LTV_TARGET).cast("double"))
-    model = reg(featuresCol="features", labelCol="label", **params).fit(data)
+    model = reg(featuresCol="features", labelCol="label", **params, **_exec(kind)).fit(data)
     return FittedModel("ltv", kind, enc, model, params)
 
 
@@ -173,7 +184,8 @@ def grid_search(train: DataFrame, grid: dict | None = None, folds: int = CV_FOLD
             .withColumn("fold", F.pmod(h, F.lit(folds)).cast("int"))
             .withColumn("is_val", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(ID_COL)), F.lit(5)) == 0))
     base = {k: v for k, v in CHURN_GBT.items() if k not in grid}
-    gbt = MC.GBTClassifier(featuresCol="features", labelCol="label", **base)
+    checkpoint_dir(train.sparkSession)
+    gbt = MC.GBTClassifier(featuresCol="features", labelCol="label", **base, **_TREE_EXEC)
     if early_stop:
         gbt = gbt.setValidationIndicatorCol("is_val")
     builder = ParamGridBuilder()
