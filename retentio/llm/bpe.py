@@ -16,7 +16,7 @@ from heapq import heapify, heappop, heappush
 #: white space as the tokenizers' regular expressions define it (Unicode White_Space)
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: caches keep words up to this length, in two generations of at most so many entries
-MAX_CACHED_CHARS, MAX_CACHE = 48, 300_000
+MAX_CACHED_CHARS, MAX_CACHE = 48, 450_000
 
 
 class Cache(dict):

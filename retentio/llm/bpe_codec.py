@@ -157,12 +157,16 @@ class Codec:
     def learn(self, parts: list[list[tuple[list[str], int]]], cache: bpe.Cache, make) -> dict:
         """make(ids) of every chunk of a batch, from ``cache`` where it has it."""
         view, new = {}, []
-        for c in {c for doc in parts for chunks, _ in doc for c in chunks}:
-            hit = cache.find(c)
+        young, old, keep = cache, cache.old, cache.keep
+        for c in set().union(*(chunks for doc in parts for chunks, _ in doc)):
+            hit = young.get(c)
             if hit is None:
-                new.append(c)
-            else:
-                view[c] = hit
+                hit = old.get(c)
+                if hit is None:
+                    new.append(c)
+                    continue
+                keep(c, hit)
+            view[c] = hit
         split = [self.find(c) for c in new]
         words, fresh = {}, []
         for w in {w for ws in split for w in ws}:

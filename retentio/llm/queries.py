@@ -70,3 +70,49 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS n_bytes,
+                  lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT), 60, '0') AS bits FROM documents),
+p AS (SELECT doc_id, n_bytes, depth, left(bits, depth) AS prefix FROM d, (SELECT unnest(range(0, 61)) AS depth)),
+s AS (SELECT prefix, depth, sum(n_bytes) AS shard_bytes, count(*) AS shard_docs FROM p GROUP BY prefix, depth
+      HAVING sum(n_bytes) <= 2097152 OR count(*) = 1)
+SELECT p.doc_id, p.n_bytes, p.prefix AS shard_id, p.depth::INT AS depth, s.shard_bytes::BIGINT AS shard_bytes, s.shard_docs
+FROM p JOIN s USING (prefix, depth)
+QUALIFY row_number() OVER (PARTITION BY p.doc_id ORDER BY depth) = 1
+""")
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign
+
+    return assign(table(spark, sf_dir, "documents"))
+
+
+#: a conversation that consists of control strings, formatted beside the table
+CONTROL = """
+SELECT cast(-7 AS BIGINT) AS conv_id, cast(turn AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text
+FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)
+"""
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, replace(replace(text, '<', '<\\'), '[', '[\\') AS body FROM c),
+a AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+             coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '') AS loss,
+             sum(length(body) + length(role) + 10) AS formatted_chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM a
+""")
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import as_messages, digests, format_trees
+
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(CONTROL))
+    return digests(format_trees(as_messages(told)))
