@@ -116,3 +116,19 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(CONTROL))
     return digests(format_trees(as_messages(told)))
+
+
+@query()
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, with_scores
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_scores(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
+@query()
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import fit, report
+
+    docs = table(spark, sf_dir, "documents")
+    return report(docs, fit(docs))
