@@ -37,6 +37,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # without it every state partition takes several MB of disk ahead of its data
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
