@@ -126,10 +126,10 @@ def with_proposals(docs: DataFrame, text: str) -> DataFrame:
 
 def _as_sql(node) -> str:
     if node.getClass().getSimpleName() == "LeafNode":
-        return repr(float(node.prediction()))
+        return f"{float(node.prediction())!r}D"
     split = node.split()
     name = list(FEATURES)[split.featureIndex()]
-    return f"(CASE WHEN x.{name} <= {float(split.threshold())!r} THEN {_as_sql(node.leftChild())} ELSE {_as_sql(node.rightChild())} END)"
+    return f"(CASE WHEN x.{name} <= {float(split.threshold())!r}D THEN {_as_sql(node.leftChild())} ELSE {_as_sql(node.rightChild())} END)"
 
 
 class Model:
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PREC
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, featuresCol="features", labelCol="label").fit(
         vectors.where("not judge").select("features", "label").coalesce(8))
-    margin = " + ".join(f"{float(w)!r} * {_as_sql(t._java_obj.rootNode())}" for w, t in zip(trees.treeWeights, trees.trees))
+    margin = " + ".join(f"{float(w)!r}D * {_as_sql(t._java_obj.rootNode())}" for w, t in zip(trees.treeWeights, trees.trees))
     judged = rows.where("judge").withColumn("x", F.struct("kind", *FEATURES)).select(
         "kind", "label", F.floor(F.expr(margin) * 20).alias("step"))
     # at most a few hundred steps a kind: the margin is bounded by the tree weights
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PREC
     thresholds = {}
     for kind in range(len(KINDS)):
         n, ones = 0, 0.0
-        for r in sorted((r for r in steps if r["kind"] == kind), key=lambda r: -r["step"]):
+        for r in sorted((r for r in steps if r["kind"] == kind and r["step"] >= 0), key=lambda r: -r["step"]):
             n, ones = n + r["n"], ones + r["ones"]
             if (ones + 1) / (n + 2) >= precision:
                 thresholds[kind] = r["step"] / 20
