@@ -16,19 +16,19 @@ from heapq import heapify, heappop, heappush
 #: white space as the tokenizers' regular expressions define it (Unicode White_Space)
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: caches keep words up to this length, in two generations of at most so many entries
-MAX_CACHED_CHARS, MAX_CACHE = 48, 450_000
+MAX_CACHED_CHARS, MAX_CACHE, MAX_CHUNKS = 48, 450_000, 150_000
 
 
 class Cache(dict):
     """A bounded memo: when it is full, it becomes the old generation, of which only words seen again return."""
 
-    def __init__(self, make=None):
+    def __init__(self, make=None, limit: int = MAX_CACHE):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.limit, self.old = make, limit, {}
 
     def keep(self, key: str, value):
         if len(key) <= MAX_CACHED_CHARS:
-            if len(self) >= MAX_CACHE:
+            if len(self) >= self.limit:
                 self.old = dict(self)
                 self.clear()
             self[key] = value

@@ -77,7 +77,8 @@ class Codec:
         self.span: dict[str, int] = {}
         for t in [*self.inner, *self.final]:
             self.span[t[:2]] = max(self.span.get(t[:2], 1), len(t))
-        self.words, self.chunks, self.raw = bpe.Cache(), bpe.Cache(), bpe.Cache()
+        self.words = bpe.Cache()
+        self.chunks, self.raw = bpe.Cache(limit=bpe.MAX_CHUNKS), bpe.Cache(limit=bpe.MAX_CHUNKS)
 
     # -- verify ---------------------------------------------------------------------------------------------
     def pair_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:

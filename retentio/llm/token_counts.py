@@ -43,7 +43,7 @@ class Counter:
 
         words = self.words = bpe.Cache(word)
         #: what stands between two single blanks, counted with the blank before it
-        self.chunks = bpe.Cache(lambda chunk: sum(map(words.__getitem__, find(" " + chunk))))
+        self.chunks = bpe.Cache(lambda chunk: sum(map(words.__getitem__, find(" " + chunk))), bpe.MAX_CHUNKS)
         self.find = find
 
     def plain(self, text: str) -> int:
