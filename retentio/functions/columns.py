@@ -58,18 +58,8 @@ def risk_tier(p, high: float = TIER_ONLINE[0], low: float = TIER_ONLINE[1]) -> C
             .otherwise(F.lit("LOW")))
 
 
-def sigmoid(c, clip: float = 500.0) -> Column:
-    x = F.least(F.greatest(col(c), F.lit(-clip)), F.lit(clip))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
-
 
 def safe_ratio(num, den) -> Column:
     """num/den when den > 0, else 0.0 (null den -> 0.0, like the reference)."""
     den = col(den)
     return F.when(den > 0, col(num) / den).otherwise(F.lit(0.0))
-
-
-def fallback_id(id_col, prefix: str = "CUST_") -> Column:
-    """Keep the id; a missing id gets a stable name derived from row content."""
-    return F.coalesce(col(id_col).cast("string"),
-                      F.concat(F.lit(prefix), F.xxhash64(F.struct("*")).cast("string")))

@@ -85,6 +85,7 @@ def class_report(df: DataFrame, label: str = "label", pred: str = "prediction")
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """EVL4 points: one row per distinct score (descending), cumulative TP/FP, tpr, fpr."""
+    df = df.where(F.col(label).isNotNull())  # an unknown label is neither class
     grouped = df.groupBy(F.col(score).alias("threshold")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("double").alias("tp_inc"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("double").alias("fp_inc"))
@@ -122,6 +123,8 @@ def regression_metrics(df: DataFrame, actual: str = "actual", predicted: str = "
     decimals, then summed exactly), so the metrics do not change with the
     number of partitions or the order in which partial sums are merged.
     """
+    # error and total sums cover the same rows: those with both values
+    df = df.where(F.col(predicted).isNotNull() & F.col(actual).isNotNull())
     err = F.col(predicted) - F.col(actual)
     ae, se = F.abs(err).cast(_FIXED), (err * err).cast(_FIXED)
     a = df.agg(F.avg(ae).cast("double").alias("mae"), F.avg(se).cast("double").alias("mse"),
@@ -130,7 +133,3 @@ def regression_metrics(df: DataFrame, actual: str = "actual", predicted: str = "
     return a.select("mae", "mse", F.sqrt("mse").alias("rmse"),
                     F.when(F.col("__sst") > 0, 1 - F.col("__ssr") / F.col("__sst")).alias("r2"))
 
-
-def residuals(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
-    """EVL7: residual = predicted - actual."""
-    return df.withColumn("residual", F.col(predicted) - F.col(actual))

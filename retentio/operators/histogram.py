@@ -37,7 +37,8 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
 
     Output: ``by``..., bin, bin_lo, bin_hi, n. Empty bins are omitted.
     """
-    data = df.where(F.col(value).isNotNull())
+    # NaN has no bin, like null
+    data = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     edges = _edges(data, value)
     # one-row scalar table: provably tiny broadcast
     j = data.select(*by, F.col(value).cast("double").alias("__v")).crossJoin(F.broadcast(edges))
@@ -55,7 +56,7 @@ def kde(df: DataFrame, value: str, grid_points: int = 200, fine: int = 1024) ->
 
     Output: point, x, density.
     """
-    data = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("__v"))
+    data = df.select(F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     stats = data.agg(F.min("__v").alias("__min"), F.max("__v").alias("__max"),
                      F.count(F.lit(1)).alias("__n"), F.stddev_samp("__v").alias("__sd"))
     j = data.crossJoin(F.broadcast(stats))
@@ -68,7 +69,8 @@ def kde(df: DataFrame, value: str, grid_points: int = 200, fine: int = 1024) ->
     g = binned.select("__c", "__n", "__min", centre.alias("__ctr"), bw.alias("__bw"), span.alias("__span"),
                       points.alias("point"))
     gx = F.col("__min") + F.col("point") * F.col("__span") / (grid_points - 1)
-    z = (gx - F.col("__ctr")) / F.col("__bw")
+    # a constant column has no bandwidth and so a null density
+    z = F.when(F.col("__bw") > 0, (gx - F.col("__ctr")) / F.col("__bw"))
     contrib = F.col("__c") * F.exp(F.lit(-0.5) * z * z)
     out = g.groupBy("point", "__n", "__bw", "__min", "__span").agg(F.sum(contrib).alias("__s"))
     norm = F.col("__n") * F.col("__bw") * F.lit(math.sqrt(2 * math.pi))

@@ -92,13 +92,21 @@ def upsert(target: DataFrame, source: DataFrame, key: str, keep_first: Sequence[
 
     A key repeated in the source keeps its last row by ``order`` via a
     ``max_by`` aggregate (partial aggregation: a hot key never gathers in one
-    task). Then one full outer join on the key.
+    task); without ``order`` a repeated key fails the job. Then one full outer
+    join on the key.
     """
     cols = target.columns
     if order is not None:
         src_cols = [c for c in source.columns if c != key]
         latest = source.groupBy(key).agg(F.max_by(F.struct(*src_cols), F.col(order)).alias("__r"))
         source = latest.select(key, *[F.col(f"__r.{c}").alias(c) for c in src_cols])
+    else:
+        src_cols = [c for c in source.columns if c != key]
+        row = F.struct(*src_cols)
+        once = source.groupBy(key).agg(F.first(row).alias("__r"), F.count(F.lit(1)).alias("__n"))
+        once = once.withColumn("__r", F.when(F.col("__n") > 1, F.raise_error(F.lit("upsert: repeated source key")).cast(
+            once.schema["__r"].dataType)).otherwise(F.col("__r")))
+        source = once.select(key, *[F.col(f"__r.{c}").alias(c) for c in src_cols])
     t = target.select(*[F.col(c).alias(f"t__{c}") for c in cols])
     s = source.select(*[F.col(c).alias(f"s__{c}") for c in cols if c in source.columns],
                       F.lit(True).alias("__src"))

@@ -324,6 +324,3 @@ def ltv_target_stats(spark, sf_dir):
     """AGG16: LTV target mean and sample std."""
     c = C.customers(spark, sf_dir)
     return c.agg(C.r6(F.avg("TotalCharges"), "mean"), C.r6(F.stddev_samp("TotalCharges"), "std"))
-
-
-__all__ = ["with_scores"]

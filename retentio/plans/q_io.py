@@ -108,6 +108,3 @@ def baseline_report(spark, sf_dir):
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value"))
                                for n in names]))
     return wide.select(rows.alias("r")).select("r.metric", "r.value")
-
-
-__all__ = ["with_scores"]
