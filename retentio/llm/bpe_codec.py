@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .bpe_batch import BatchMerger
 from .common import small_batches, text_or_empty
 
 #: fixed value: the split rule of the lower-case vocabulary with word ends
@@ -77,8 +78,9 @@ class Codec:
         self.span: dict[str, int] = {}
         for t in [*self.inner, *self.final]:
             self.span[t[:2]] = max(self.span.get(t[:2], 1), len(t))
-        self.words = bpe.Cache()
-        self.chunks, self.raw = bpe.Cache(limit=bpe.MAX_CHUNKS), bpe.Cache(limit=bpe.MAX_CHUNKS)
+        #: words and chunks as ids, as digest parts and as bytes; a job fills one of them
+        self.words, self.chunks, self.raw = bpe.Cache(), bpe.Cache(), bpe.Cache()
+        self.merger = BatchMerger(r)
 
     # -- verify ---------------------------------------------------------------------------------------------
     def pair_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -155,8 +157,11 @@ class Codec:
             out.append((chunks, self.ranks.special[pieces[k + 1]] if k + 1 < len(pieces) else -1))
         return out
 
-    def learn(self, parts: list[list[tuple[list[str], int]]], cache: bpe.Cache, make) -> dict:
-        """make(ids) of every chunk of a batch, from ``cache`` where it has it."""
+    def learn(self, parts: list[list[tuple[list[str], int]]], cache: bpe.Cache, values, join) -> dict:
+        """The value of every chunk of a batch: ``values`` gives those of a list of words, ``join`` that of several words.
+
+        ``cache`` keeps the values of words and of chunks of several words alike: a word is the chunk that holds it alone.
+        """
         view, new = {}, []
         young, old, keep = cache, cache.old, cache.keep
         for c in set().union(*(chunks for doc in parts for chunks, _ in doc)):
@@ -168,23 +173,23 @@ class Codec:
                     continue
                 keep(c, hit)
             view[c] = hit
-        split = [self.find(c) for c in new]
+        split = [[c] if c.isascii() and c.isalpha() else self.find(c) for c in new]
         words, fresh = {}, []
         for w in {w for ws in split for w in ws}:
-            hit = self.words.find(w)
+            hit = cache.find(w)
             if hit is None:
                 fresh.append(w)
             else:
                 words[w] = hit
-        for w, ids in zip(fresh, self.encode_words(fresh)):
-            words[w] = self.words.keep(w, ids)
+        for w, value in zip(fresh, values(fresh)):
+            words[w] = keep(w, value)
         for c, ws in zip(new, split):
-            view[c] = cache.keep(c, make([i for w in ws for i in words[w]]))
+            view[c] = words[ws[0]] if len(ws) == 1 else keep(c, join([words[w] for w in ws]))
         return view
 
     def encode(self, text: str) -> list[int]:
         parts = [self.parts(text)]
-        view = self.learn(parts, bpe.Cache(), tuple)
+        view = self.learn(parts, self.words, self.encode_words, lambda runs: tuple(i for ids in runs for i in ids))
         return [i for chunks, end in parts[0] for i in [*(i for c in chunks for i in view[c]), *([end] if end >= 0 else [])]]
 
     def decode(self, ids) -> str:
@@ -231,12 +236,15 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path)
 
-        def shown(ids: list[int]) -> tuple[int, str, str]:
+        def shown(ids) -> tuple[int, str, str]:
             return len(ids), " ".join(map(str, ids)), c.decode(ids)
 
+        def joined(runs: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+            return sum(r[0] for r in runs), " ".join([r[1] for r in runs]), " ".join([r[2] for r in runs])
+
         for texts in batches:
             parts = [c.parts(t) for t in texts]
-            view = c.learn(parts, c.chunks, shown)
+            view = c.learn(parts, c.chunks, lambda ws: map(shown, c.encode_words(ws)), joined)
             rows = []
             for doc in parts:
                 got = []

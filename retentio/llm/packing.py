@@ -57,7 +57,7 @@ def pack(docs: DataFrame, path: str, max_len: int = MAX_LEN, with_ids: bool = Fa
 
         for batch in batches:
             parts = [c.parts(t) for t in batch["body"]]
-            view = c.learn(parts, c.raw, raw)
+            view = c.learn(parts, c.raw, c.merger.merge, b"".join)
             out = []
             for doc, runs in zip(batch["doc_id"], parts):
                 got = []

@@ -4,10 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from retentio.llm import bpe_codec, chat, exact_dedup, fingerprints, packing, pii, quality, sharding, simhash, token_counts
+from retentio.llm import bpe_batch, bpe_codec, chat, exact_dedup, fingerprints, packing, pii, quality, sharding, simhash, token_counts
 
 P = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
@@ -265,3 +266,14 @@ def test_pipeline_stages(spark, sf):
         assert out.columns == docs.columns
         assert 0 < out.count() < n
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "pii", "packing"]
+
+
+def test_batch_merging_equals_heap_merging():
+    longest = bpe_batch.LONGEST
+    c = bpe_codec.codec(WORD)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aabetrsoin") for _ in range(rng.randint(1, longest + 8))) for _ in range(3000)]
+    words += ["", "a", "'s", "...", "aaaaaaaa", "étéσ", "中文字", "x" * 5000]
+    for word, got in zip(words, c.merger.merge(words)):
+        assert np.frombuffer(got, "<u4").tolist() == (c.exact(c.ranks.symbols(word)) if word else [])
+    assert c.merger.merge([]) == [] and c.merger.merge([""]) == [b""]
