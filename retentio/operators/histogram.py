@@ -19,7 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quantile import exact_quantiles
+from ..session import cut_lineage
+from .quantile import exact_quantiles, join_groups
 
 
 def _edges(df: DataFrame, value: str) -> DataFrame:
@@ -81,15 +82,11 @@ def kde(df: DataFrame, value: str, grid_points: int = 200, fine: int = 1024) ->
 
 def box_summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Quartiles, IQR, 1.5-IQR whiskers (most extreme points inside) and outlier count."""
-    q = exact_quantiles(df, value, [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
-    j = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    # q has one row per group; join on the group keys (null-safe)
-    qq = q.select(*[F.col(k).alias(f"__k_{k}") for k in by], "q1", "median", "q3")
-    cond = None
-    for k in by:
-        c = j[k].eqNullSafe(qq[f"__k_{k}"])
-        cond = c if cond is None else cond & c
-    jj = j.join(qq, cond) if by else j.crossJoin(F.broadcast(qq))
+    # one narrow copy feeds the quartiles and the whiskers; the quartiles, one row per group, are
+    # written too, so that the planner knows their size when it chooses the join
+    data = cut_lineage(df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col(value).isNotNull()))
+    q = cut_lineage(exact_quantiles(data, "__v", [0.25, 0.5, 0.75], by, ["q1", "median", "q3"]))
+    jj = join_groups(data, q, by)
     iqr = F.col("q3") - F.col("q1")
     lo_fence, hi_fence = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     res = jj.groupBy(*by, "q1", "median", "q3").agg(

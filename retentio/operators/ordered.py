@@ -20,12 +20,6 @@ from ..session import cut_lineage
 _PID = "__pid"
 
 
-def _partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return partitions
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
 def global_running_sum(df: DataFrame, order: Sequence[Column], sums: Sequence[str],
                        prefix: str = "cum_", partitions: int | None = None) -> DataFrame:
     """Add inclusive running sums ``cum_<c>`` of ``sums`` in the global ``order``.
@@ -33,8 +27,8 @@ def global_running_sum(df: DataFrame, order: Sequence[Column], sums: Sequence[st
     ``order`` must be a total order (ties broken by the caller) for the sums to
     be deterministic.
     """
-    n_parts = _partitions(df, partitions)
-    ranged = (df.repartitionByRange(n_parts, *order)
+    # without an explicit count, AQE sizes the ranges by their bytes
+    ranged = (df.repartitionByRange(*([partitions] if partitions else []), *order)
               .sortWithinPartitions(*order)
               .withColumn(_PID, F.spark_partition_id()))
     out_names = [f"{prefix}{c}" for c in sums]
@@ -59,7 +53,7 @@ def global_running_sum(df: DataFrame, order: Sequence[Column], sums: Sequence[st
     w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(_PID, *[F.coalesce(F.sum(f"__t_{c}").over(w), F.lit(0.0)).alias(f"__o_{c}")
                                     for c in sums])
-    # offsets has one row per range partition (n_parts rows): bounded, safe to broadcast
+    # offsets has one row per range partition (at most spark.sql.shuffle.partitions): bounded, safe to broadcast
     joined = local.join(F.broadcast(offsets), _PID)
     return joined.select(
         *[c for c in df.columns],

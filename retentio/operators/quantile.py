@@ -2,186 +2,71 @@
 
 Spark's exact ``percentile`` merges a value->count map per group in a single
 task, so a group holding a third of 100 TB would have to fit in one executor.
-Here the rank that defines each quantile is found by narrowing:
-
-1. one pass computes, per group, the row count and a grid of approximate
-   quantiles (``percentile_approx``: bounded, mergeable sketches, partial
-   aggregation per task);
-2. the two grid points around each target rank bound a *band*; a second pass
-   counts rows below the band and keeps the band rows, collapsed to
-   ``(value, count)``;
-3. when a band still holds more than ``band_limit`` distinct values, the same
-   step is repeated inside the band; otherwise a running sum over the sorted
-   band (a window over at most ``band_limit`` rows per target) picks the value.
-
-Bounds are verified with exact counts, so sketch error can only widen a band,
-never change a result. Interpolation is linear between the values at ranks
-``floor(p*(n-1))`` and ``ceil(p*(n-1))``, as in pandas, DuckDB and Spark.
+Here one path serves every size:
+
+1. the input is read once into counts per (group, value), collapsed before the
+   shuffle, and written;
+2. a running sum over the counts in the global (group, value) order gives each
+   value the range of ranks it covers; the order is range-partitioned, so a
+   large group is cut by value over many tasks;
+3. one row per group (its first rank and its row count) is written and joined
+   back; as a written table its size is known, so the planner broadcasts it
+   below its threshold and otherwise joins by shuffle;
+4. the values that cover the wanted ranks are picked by a partial aggregate.
+
+Interpolation is linear between the values at ranks ``floor(p*(n-1))`` and
+``ceil(p*(n-1))``, as in pandas, DuckDB and Spark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .ordered import global_running_sum
 
 _X = "__qx"
 
 
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Null-safe equi-join on ``keys``; keeps the left key columns only."""
+def join_groups(left: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Null-safe inner join with a table of one row per group; keeps the left key columns only."""
     if not keys:
-        # right is one row (a global aggregate): a provably one-row broadcast
-        return left.crossJoin(F.broadcast(right))
-    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
-                     *[c for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(r[f"__r_{k}"])
-        cond = c if cond is None else cond & c
-    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
-
-
-def _select_ranks(data: DataFrame, keys: list[str], targets: DataFrame, n_targets: int,
-                  accuracy: int, grid: int, band_limit: int, margin: int = 1,
-                  depth: int = 0) -> DataFrame:
-    """For each key and target t, the value at 0-based rank ``r_t`` (ascending).
-
-    ``data``: keys + ``__qx`` (non-null). ``targets``: keys + ``__n`` (row
-    count of the key) + ``r_0..r_{T-1}``. Returns keys + ``v_0..v_{T-1}``.
-    """
-    TID = f"__tid{depth}"  # one tag column per recursion level
-    probs = [i / grid for i in range(grid + 1)]
-    sketch = data.groupBy(*keys).agg(F.percentile_approx(_X, probs, accuracy).alias("__grid"))
-    tg = _join(targets, sketch, keys) if keys else targets.crossJoin(sketch)
-    cols = []
-    for t in range(n_targets):
-        r = F.col(f"r_{t}")
-        pos = F.when(F.col("__n") > 1, r / (F.col("__n") - 1)).otherwise(F.lit(0.0)) * grid
-        lo_idx = F.floor(pos).cast("int") - margin
-        hi_idx = F.ceil(pos).cast("int") + margin
-        cols.append(F.when(lo_idx <= 0, F.lit(None).cast("double"))
-                    .otherwise(F.element_at("__grid", lo_idx + 1)).alias(f"lo_{t}"))
-        cols.append(F.when(hi_idx >= grid, F.lit(None).cast("double"))
-                    .otherwise(F.element_at("__grid", hi_idx + 1)).alias(f"hi_{t}"))
-    bounds = tg.select(*keys, "__n", *[f"r_{t}" for t in range(n_targets)], *cols)
-
-    joined = _join(data, bounds, keys)
-    x = F.col(_X)
-
-    def in_band(t: int):
-        lo, hi = F.col(f"lo_{t}"), F.col(f"hi_{t}")
-        return (lo.isNull() | (x >= lo)) & (hi.isNull() | (x <= hi))
-
-    below = joined.groupBy(*keys).agg(
-        *[F.sum(F.when(F.col(f"lo_{t}").isNotNull() & (x < F.col(f"lo_{t}")), 1).otherwise(0))
-          .alias(f"b_{t}") for t in range(n_targets)],
-        *[F.sum(F.when(in_band(t), 1).otherwise(0)).alias(f"m_{t}") for t in range(n_targets)],
-    )
-    band = (joined.select(*keys, x, F.explode(F.array(*[
-                F.when(in_band(t), F.lit(t)) for t in range(n_targets)])).alias(TID))
-            .where(F.col(TID).isNotNull()))
-
-    # Verify the sketch brackets: rows below the band <= r < rows up to the band's end.
-    check = _join(below, targets.select(*keys, *[f"r_{t}" for t in range(n_targets)]), keys)
-    bad = F.lit(False)
-    for t in range(n_targets):
-        r, b, m = F.col(f"r_{t}"), F.col(f"b_{t}"), F.col(f"m_{t}")
-        bad = bad | (b > r) | (b + m <= r)
-    hist = band.groupBy(*keys, TID, _X).agg(F.count(F.lit(1)).alias("__c"))
-    hist = cut_lineage(hist)
-    sizes = hist.groupBy(*keys, TID).count()
-    diag = (check.agg(F.max(bad.cast("int")).alias("bad"))
-            .crossJoin(sizes.agg(F.max("count").alias("widest"))).first())
-    if diag["bad"]:
-        # Sketch error exceeded the margin somewhere: widen and redo (rare).
-        return _select_ranks(data, keys, targets, n_targets, accuracy, grid, band_limit,
-                             margin=margin * 4 + 1, depth=depth)
-
-    # Rank of each target inside its band.
-    rel = below.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(t).alias(TID), F.col(f"b_{t}").alias("__b")) for t in range(n_targets)
-    ])).alias("__s")).select(*keys, "__s.*")
-    rel = _join(rel, targets.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(t).alias("__t2"), F.col(f"r_{t}").alias("__r")) for t in range(n_targets)
-    ])).alias("__s")).select(*keys, "__s.*"), keys).where(F.col(TID) == F.col("__t2"))
-    rel = rel.select(*keys, TID, (F.col("__r") - F.col("__b")).alias("__rr"))
-
-    bkeys = [*keys, TID]
-    if diag["widest"] is not None and diag["widest"] > band_limit and depth < 8:
-        sub_data = band.select(*bkeys, _X)
-        sub_targets = _join(rel, band.groupBy(*bkeys).agg(F.count(F.lit(1)).alias("__n")), bkeys)
-        sub_targets = sub_targets.select(*bkeys, "__n", F.col("__rr").alias("r_0"))
-        picked = _select_ranks(sub_data, bkeys, sub_targets, 1, accuracy, grid, band_limit,
-                               depth=depth + 1).withColumnRenamed("v_0", "__v")
-    else:
-        w = (Window.partitionBy(*bkeys).orderBy(_X)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        h = _join(hist, rel, bkeys).withColumn("__cum", F.sum("__c").over(w))
-        picked = (h.where((F.col("__cum") > F.col("__rr")) & (F.col("__cum") - F.col("__c") <= F.col("__rr")))
-                  .select(*bkeys, F.col(_X).alias("__v")))
-    return picked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col(TID) == t, F.col("__v"))).alias(f"v_{t}") for t in range(n_targets)
-    ])
-
-
-def _select_small(data: DataFrame, keys: list[str], targets: DataFrame, n_targets: int) -> DataFrame:
-    """Rank selection when each group has at most ``band_limit`` rows (checked by the caller)."""
-    hist = data.groupBy(*keys, _X).agg(F.count(F.lit(1)).alias("__c"))
-    w = (Window.partitionBy(*keys).orderBy(_X)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    h = _join(hist, targets, keys).withColumn("__cum", F.sum("__c").over(w))
-    hit = [(F.col("__cum") > F.col(f"r_{t}")) & (F.col("__cum") - F.col("__c") <= F.col(f"r_{t}"))
-           for t in range(n_targets)]
-    return h.groupBy(*keys).agg(*[F.max(F.when(hit[t], F.col(_X))).alias(f"v_{t}")
-                                  for t in range(n_targets)])
+        # groups is one row (a global aggregate): a provably one-row broadcast
+        return left.crossJoin(F.broadcast(groups))
+    right = groups.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    cond = [left[k].eqNullSafe(right[f"__r_{k}"]) for k in keys]
+    return left.join(right, cond).drop(*[f"__r_{k}" for k in keys])
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    by: Sequence[str] = (), names: Sequence[str] | None = None,
-                    accuracy: int = 10000, grid: int = 200,
-                    band_limit: int = 1_000_000) -> DataFrame:
+                    by: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per ``by`` group.
 
     Returns ``by`` columns plus one double column per probability (default
-    names ``q_<index>``). Groups whose values are all null get nulls.
+    names ``q_<index>``). NaN counts as null; groups whose values are all null
+    get nulls, and so does an empty table without groups (one row).
     """
     keys = list(by)
     names = list(names) if names else [f"q_{i}" for i in range(len(probs))]
-    data = (df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias(_X))
-            .where(F.col(_X).isNotNull() & ~F.isnan(F.col(_X))))
-    counts = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    rank_cols = []
+    x = F.col(value).cast("double")
+    counts = cut_lineage(df.select(*keys, F.when(~F.isnan(x), x).alias(_X))
+                         .groupBy(*keys, _X).agg(F.count(_X).alias("__c")))
+    ranked = global_running_sum(counts, [*[F.col(k) for k in keys], F.col(_X)], ["__c"])
+    first = F.col("cum___c") - F.col("__c")
+    groups = cut_lineage(ranked.groupBy(*keys).agg(F.min(first).alias("__first"), F.sum("__c").alias("__n")))
+    joined = join_groups(ranked, groups, keys)
+    at, end = first - F.col("__first"), F.col("cum___c") - F.col("__first")
+    picks, out = [], []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("__n") - 1)
-        rank_cols.append(F.floor(pos).cast("long").alias(f"r_{2 * i}"))
-        rank_cols.append(F.ceil(pos).cast("long").alias(f"r_{2 * i + 1}"))
-    targets = counts.select(*keys, "__n", *rank_cols)
-    n_max = counts.agg(F.max("__n")).first()[0] or 0
-    if n_max <= band_limit:
-        # every group already fits the band bound: one sorted pass, no sketch
-        vals = _select_small(data, keys, targets, 2 * len(probs))
-    else:
-        vals = _select_ranks(data, keys, targets, 2 * len(probs), accuracy, grid, band_limit)
-    res = _join(targets, vals, keys) if keys else targets.crossJoin(vals)
-    out = []
-    for i, p in enumerate(probs):
-        lo, hi = F.col(f"v_{2 * i}"), F.col(f"v_{2 * i + 1}")
-        frac = F.lit(float(p)) * (F.col("__n") - 1) - F.col(f"r_{2 * i}")
+        for side, r in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            picks.append(F.max(F.when((at <= r) & (r < end), F.col(_X))).alias(f"__{side}_{i}"))
+        lo, hi, frac = F.col(f"__lo_{i}"), F.col(f"__hi_{i}"), pos - F.floor(pos)
         out.append(F.when(frac == 0, lo).otherwise(lo + (hi - lo) * frac).alias(names[i]))
-    result = res.select(*keys, *out)
-    if keys:
-        # groups with only null values still appear, with null quantiles
-        groups = df.select(*keys).distinct()
-        result = _join(groups, result, keys, "left")
-    else:
-        result = df.sparkSession.range(1).select(
-            *[F.lit(None).cast("double").alias(n) for n in names]).limit(0).unionByName(result)
-        result = result.agg(*[F.max(n).alias(n) for n in names])
-    return result
+    return joined.groupBy(*keys).agg(*picks, F.max("__n").alias("__n")).select(*keys, *out)
 
 
 def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "median") -> DataFrame:

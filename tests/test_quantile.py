@@ -11,8 +11,7 @@ def _np_q(values, p):
     return float(np.quantile(np.asarray(values, dtype=float), p)) if len(values) else None
 
 
-@pytest.mark.parametrize("band_limit", [1_000_000, 60])  # fast path and forced sketch/recursion
-def test_grouped_quantiles_match_numpy(spark, band_limit):
+def test_grouped_quantiles_match_numpy(spark):
     rng = np.random.default_rng(1)
     rows = []
     for g in ("a", "b", "c"):
@@ -23,7 +22,7 @@ def test_grouped_quantiles_match_numpy(spark, band_limit):
     rows += [("d", None), ("e", 1.0)]
     df = spark.createDataFrame(rows, "g string, x double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    got = {r["g"]: r for r in exact_quantiles(df, "x", probs, ["g"], band_limit=band_limit, grid=20).collect()}
+    got = {r["g"]: r for r in exact_quantiles(df, "x", probs, ["g"]).collect()}
     for g in ("a", "b", "c", "e"):
         vals = [v for gg, v in rows if gg == g and v is not None]
         for i, p in enumerate(probs):
@@ -31,20 +30,28 @@ def test_grouped_quantiles_match_numpy(spark, band_limit):
     assert got["d"]["q_0"] is None
 
 
-def test_global_median_with_small_band(spark):
+def test_global_median(spark):
     vals = [float(v) for v in range(1, 1002)] + [7.5] * 50
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     r = exact_median(df, "x").first()["median"]
     assert r == pytest.approx(float(np.median(vals)))
-    r2 = exact_quantiles(df, "x", [0.5], band_limit=5, grid=10).first()["q_0"]
-    assert r2 == pytest.approx(float(np.median(vals)))
+    assert exact_median(df.limit(0), "x").first()["median"] is None
+
+
+def test_two_valued_group_is_not_shuffled_whole(spark):
+    df = spark.range(20_000).selectExpr("if(id % 2 = 0, null, 'k') g", "cast(id % 7919 as double) x")
+    q = exact_quantiles(df, "x", [0.5], ["g"])
+    assert "SortMergeJoin" not in q._jdf.queryExecution().toString()  # one row per group is broadcast by its size
+    ids = np.arange(20_000)
+    assert {r["g"]: r["q_0"] for r in q.collect()} == {
+        None: float(np.median(ids[::2] % 7919)), "k": float(np.median(ids[1::2] % 7919))}
 
 
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.integers(-50, 50), min_size=1, max_size=60))
 def test_median_property(spark, xs):
     df = spark.createDataFrame([(float(x),) for x in xs], "x double")
-    got = exact_quantiles(df, "x", [0.5], band_limit=12, grid=8).first()["q_0"]
+    got = exact_quantiles(df, "x", [0.5]).first()["q_0"]
     assert got == pytest.approx(float(np.median(xs)))
 
 
