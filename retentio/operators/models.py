@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import risk_tier
 from ..schemas import CATEGORICAL, CHURN_COL, ID_COL, LTV_TARGET, MOCK_PROBABILITY, NUMERICAL, TIER_ONLINE
 from ..session import checkpoint_dir
+from .clean import clean
 from .encode import EncoderState, fit_encoder
+from .features import create_features
 
 # The reference's booster settings.
 CHURN_GBT = dict(maxIter=100, maxDepth=6, stepSize=0.1, subsamplingRate=0.8,
@@ -57,6 +59,7 @@ class FittedModel:
     encoder: EncoderState
     model: object
     params: dict = field(default_factory=dict)
+    median: float | None = None    # TotalCharges of the training rows; fills blanks when raw records are scored
 
     def features(self, df: DataFrame, keep=(ID_COL,)) -> DataFrame:
         return self.encoder.vector(df, keep=[k for k in keep if k in df.columns])
@@ -74,7 +77,7 @@ class FittedModel:
         """SNK6: model + fit state under one folder (shared filesystem)."""
         self.model.write().overwrite().save(os.path.join(path, "model"))
         self.encoder.save(spark, os.path.join(path, "encoder"))
-        meta = json.dumps({"task": self.task, "kind": self.kind, "params": self.params})
+        meta = json.dumps({"task": self.task, "kind": self.kind, "params": self.params, "median": self.median})
         spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite") \
             .json(os.path.join(path, "meta"))
         return path
@@ -86,7 +89,7 @@ class FittedModel:
         table = _CLASSIFIERS if meta["task"] == "churn" else _REGRESSORS
         model = table[meta["kind"]][1].load(os.path.join(path, "model"))
         return FittedModel(meta["task"], meta["kind"], EncoderState.load(spark, os.path.join(path, "encoder")),
-                           model, meta.get("params", {}))
+                           model, meta.get("params", {}), meta.get("median"))
 
 
 def _exec(kind: str) -> dict:
@@ -101,7 +104,7 @@ def _feature_frame(df: DataFrame, task: str) -> DataFrame:
 
 
 def train_churn(train: DataFrame, kind: str = "gbt", categorical=CATEGORICAL, numerical=NUMERICAL,
-                **overrides) -> FittedModel:
+                median: float | None = None, **overrides) -> FittedModel:
     """MDL1/3/5/6/7: fit the encoder on the training rows, then the classifier."""
     cls, _, defaults = _CLASSIFIERS[kind]
     params = {**defaults, **overrides}
@@ -110,11 +113,11 @@ def train_churn(train: DataFrame, kind: str = "gbt", categorical=CATEGORICAL, nu
     enc = fit_encoder(x, categorical, numerical)
     data = enc.vector(train, keep=[CHURN_COL]).withColumnRenamed(CHURN_COL, "label")
     model = cls(featuresCol="features", labelCol="label", **params, **_exec(kind)).fit(data)
-    return FittedModel("churn", kind, enc, model, params)
+    return FittedModel("churn", kind, enc, model, params, median)
 
 
 def train_ltv(train: DataFrame, kind: str = "gbt", categorical=CATEGORICAL, numerical=NUMERICAL,
-              **overrides) -> FittedModel:
+              median: float | None = None, **overrides) -> FittedModel:
     """MDL2/4: spend regressor on TotalCharges; target and its derivatives never features."""
     reg, _, defaults = _REGRESSORS[kind]
     params = {**defaults, **overrides}
@@ -123,7 +126,7 @@ def train_ltv(train: DataFrame, kind: str = "gbt", categorical=CATEGORICAL, nume
     enc = fit_encoder(x, categorical, [c for c in numerical if c not in LTV_LEAKS])
     data = enc.vector(train, keep=[LTV_TARGET]).withColumn("label", F.col(LTV_TARGET).cast("double"))
     model = reg(featuresCol="features", labelCol="label", **params, **_exec(kind)).fit(data)
-    return FittedModel("ltv", kind, enc, model, params)
+    return FittedModel("ltv", kind, enc, model, params, median)
 
 
 def score_churn(model: FittedModel | None, df: DataFrame, threshold: float = 0.5,
@@ -159,6 +162,19 @@ def score_customers(churn: FittedModel, ltv: FittedModel, df: DataFrame,
                     F.round("ltv_prediction", 2).alias("ltv_prediction"))
 
 
+def score_raw(churn: FittedModel, ltv: FittedModel, raw: DataFrame,
+              tiers: tuple[float, float] = TIER_ONLINE) -> DataFrame:
+    """SCO1/SCO3 from raw records: clean with the stored training median, derive features, score.
+
+    No job runs and nothing is fitted on ``raw``, so a record scores alike alone, in a batch and on a stream.
+    """
+    if churn is None or ltv is None:
+        raise RuntimeError("both models are required")
+    if churn.median is None:
+        raise ValueError("the churn model was trained without median=, which raw records need")
+    return score_customers(churn, ltv, create_features(clean(raw, median=churn.median)), tiers)
+
+
 # The reference's search grid.
 CV_GRID = {"maxDepth": [4, 6], "maxIter": [100, 200], "stepSize": [0.05, 0.1]}
 CV_FOLDS = 3

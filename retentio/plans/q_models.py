@@ -14,6 +14,8 @@ from ..operators import evaluate as EV
 from ..operators import explain as EX
 from ..operators import models as M
 from ..operators import split as SP
+from ..operators.clean import clean, training_median
+from ..operators.features import create_features
 from . import common as C
 from .catalog import register
 
@@ -21,26 +23,26 @@ _CACHE: dict = {}
 
 
 def _splits(spark, sf_dir):
+    """(train, test, median): the fill value comes from the training rows only."""
     key = (id(spark), sf_dir, "splits")
     if key not in _CACHE:
-        f = C.features(spark, sf_dir)
-        s = SP.assign_split(f, "customerID").persist()
-        _CACHE[key] = (s.where(F.col("split") == "train").drop("split"),
-                       s.where(F.col("split") == "test").drop("split"))
+        raw_train, raw_test = SP.train_test(C.raw(spark, sf_dir), "customerID")
+        median = training_median(raw_train).first()["median"]  # one row
+        _CACHE[key] = (*(create_features(clean(part, median=median)).persist() for part in (raw_train, raw_test)), median)
     return _CACHE[key]
 
 
 def _model(spark, sf_dir, task: str, kind: str, **overrides):
     key = (id(spark), sf_dir, task, kind, tuple(sorted(overrides.items())))
     if key not in _CACHE:
-        train, _ = _splits(spark, sf_dir)
+        train, _, median = _splits(spark, sf_dir)
         fit = M.train_churn if task == "churn" else M.train_ltv
-        _CACHE[key] = fit(train, kind, **overrides)
+        _CACHE[key] = fit(train, kind, median=median, **overrides)
     return _CACHE[key]
 
 
 def _test_scores(spark, sf_dir, kind: str, **overrides):
-    _, test = _splits(spark, sf_dir)
+    _, test, _ = _splits(spark, sf_dir)
     m = _model(spark, sf_dir, "churn", kind, **overrides)
     s = M.score_churn(m, test)
     return s.select("customerID", F.col("Churn").alias("label"),
@@ -75,7 +77,7 @@ def churn_gbt_baseline(spark, sf_dir):
 @register("ltv_gbt")
 def ltv_gbt(spark, sf_dir):
     """MDL2/MDL4: spend regressor; test rows with actual, predicted and residual."""
-    _, test = _splits(spark, sf_dir)
+    _, test, _ = _splits(spark, sf_dir)
     m = _model(spark, sf_dir, "ltv", "gbt")
     s = M.score_ltv(m, test)
     return s.select("customerID", F.col("TotalCharges").alias("actual"),
@@ -115,15 +117,15 @@ def score_customers(spark, sf_dir):
     """SCO3/SCO4: every customer scored by both models, tiered, with the true label."""
     churn = _model(spark, sf_dir, "churn", "gbt")
     ltv = _model(spark, sf_dir, "ltv", "gbt")
-    df = C.features(spark, sf_dir)
-    s = M.score_customers(churn, ltv, df)
-    return s.join(df.select("customerID", F.col("Churn").alias("actual_churn")), "customerID")
+    raw = C.raw(spark, sf_dir)
+    s = M.score_raw(churn, ltv, raw)
+    return s.join(C.labelled(spark, sf_dir).select("customerID", F.col("Churn").alias("actual_churn")), "customerID")
 
 
 @register("linear_attributions")
 def linear_attributions(spark, sf_dir):
     """EXP1 (linear): exact per-row attributions of the logistic model, long form."""
-    train, test = _splits(spark, sf_dir)
+    train, test, _ = _splits(spark, sf_dir)
     m = _model(spark, sf_dir, "churn", "lr")
     return EX.linear_attributions(m, train, test)
 
@@ -145,7 +147,7 @@ def attribution_waterfall(spark, sf_dir):
 @register("churn_cv")
 def churn_cv(spark, sf_dir):
     """MDL8: 3-fold grid search (depth x trees x rate) with early stopping; one row per setting."""
-    train, _ = _splits(spark, sf_dir)
+    train, _, _ = _splits(spark, sf_dir)
     best, results = M.grid_search(train)
     key = (id(spark), sf_dir, "churn", "cv")
     _CACHE[key] = best
@@ -159,7 +161,7 @@ def churn_cv(spark, sf_dir):
 def tree_attributions(spark, sf_dir):
     """EXP1/EXP4 (trees): exact path-dependent attributions of the churn booster, long form."""
     from ..operators.tree_explain import tree_attributions as TA
-    _, test = _splits(spark, sf_dir)
+    _, test, _ = _splits(spark, sf_dir)
     return TA(_model(spark, sf_dir, "churn", "gbt"), test)
 
 

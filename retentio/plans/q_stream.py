@@ -82,14 +82,14 @@ def stream_upsert(spark, sf_dir):
 
 @register("stream_scores")
 def stream_scores(spark, sf_dir):
-    """STR1: customers arriving as files are scored and appended to the log, batch-idempotent."""
+    """STR1: raw customer records arriving as files are scored and appended to the log, batch-idempotent."""
     from ..operators import models as M
     from .q_models import _model
     churn = _model(spark, sf_dir, "churn", "gbt")
     ltv = _model(spark, sf_dir, "ltv", "gbt")
     run = ST.run_folder(spark, "scores")
-    f = C.features(spark, sf_dir)
-    ST.stage_files(f, f"{run}/source")
-    stream = ST.file_stream(spark, f"{run}/source", f.schema)
-    ST.score_stream(stream, lambda b: M.score_customers(churn, ltv, b), f"{run}/sink", f"{run}/checkpoint")
+    raw = C.raw(spark, sf_dir)
+    ST.stage_files(raw, f"{run}/source")
+    stream = ST.file_stream(spark, f"{run}/source", raw.schema)
+    ST.score_stream(stream, lambda b: M.score_raw(churn, ltv, b), f"{run}/sink", f"{run}/checkpoint")
     return spark.read.parquet(f"{run}/sink").drop("predicted_at")

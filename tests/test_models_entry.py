@@ -91,3 +91,20 @@ def test_entry_and_registry(spark):
     assert df.count() > 0
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 80
+
+
+def test_raw_record_scores_alike_alone_and_in_a_batch(spark, fitted, tmp_path):
+    from dataclasses import replace
+    from retentio.operators import models as M
+    from retentio.sources.files import records_frame
+    rows = [dict(SAMPLE, customerID=f"R-{k}", TotalCharges=" " if k == 0 else str(100.0 * k)) for k in range(4)]
+    churn = replace(fitted["lr"], median=1400.5)
+    batch = {r["customerID"]: r for r in M.score_raw(churn, fitted["ltv"], records_frame(spark, rows)).collect()}
+    alone = M.score_raw(churn, fitted["ltv"], records_frame(spark, rows[:1])).first()
+    assert len(batch) == 4 and alone == batch["R-0"]
+    filled = M.score_raw(churn, fitted["ltv"], records_frame(spark, [dict(rows[0], TotalCharges="1400.5")])).first()
+    assert filled == alone
+    back = M.FittedModel.load(spark, churn.save(spark, str(tmp_path / "m")))
+    assert back.median == 1400.5
+    with pytest.raises(ValueError):
+        M.score_raw(fitted["lr"], fitted["ltv"], records_frame(spark, rows))
