@@ -3,16 +3,18 @@
 The split key is a seeded md5 of the row id, so membership depends only on
 the id: independent of partitioning, file layout and engine (the same
 expression runs in DuckDB). ``exact=True`` keeps exactly round(0.8 n) train
-rows by ranking on the hash with the two-pass global row number (no
-single-task window); ``stratify=True`` does the same per class.
+rows, ``stratify`` the same per class: the cut-off (hash, id) of each class is
+found by counting hash heads on a narrow projection, and every row is compared
+with its class's cut-off, so the table itself is not moved. Rows that share an
+id go to the same side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import global_row_number
+from ..session import cut_lineage
 
 
 def hash_key(id_col: str, seed: int = 42) -> Column:
@@ -29,24 +31,34 @@ def assign_split(df: DataFrame, id_col: str, test_size: float = 0.2, seed: int =
     if not exact and stratify is None:
         is_test = F.substring(hash_key(id_col, seed), 1, 8) < F.lit(_threshold(test_size))
         return df.withColumn(name, F.when(is_test, "test").otherwise("train"))
-    keyed = df.withColumn("__h", hash_key(id_col, seed))
-    if stratify is None:
-        n = keyed.count()
-        n_train = round((1 - test_size) * n)  # same rounding as the reference (half-even)
-        ranked = global_row_number(keyed, [F.col("__h"), F.col(id_col)], "__rn")
-        return ranked.withColumn(name, F.when(F.col("__rn") <= n_train, "train").otherwise("test")) \
-            .drop("__h", "__rn")
-    # Stratified: rank inside each class = global rank - rows of earlier classes.
-    counts = {r[0]: r[1] for r in keyed.groupBy(stratify).count().collect()}  # one row per class
-    ranked = global_row_number(keyed, [F.col(stratify).asc_nulls_first(), F.col("__h"), F.col(id_col)], "__rn")
-    offset, cases = 0, None
-    for cls in sorted(counts, key=lambda v: (v is not None, v)):
-        n_train = round((1 - test_size) * counts[cls])
-        cond = F.col(stratify).isNull() if cls is None else (F.col(stratify) == cls)
-        expr = F.when(cond & (F.col("__rn") - offset <= n_train), "train").when(cond, "test")
-        cases = expr if cases is None else F.coalesce(cases, expr)
-        offset += counts[cls]
-    return ranked.withColumn(name, cases).drop("__h", "__rn")
+    group = F.lit("all") if stratify is None else F.coalesce(F.concat(F.lit("v"), F.col(stratify).cast("string")), F.lit("null"))
+    keyed = df.withColumns({"__g": group, "__h": F.coalesce(hash_key(id_col, seed), F.lit(""))})
+    cuts = _cutoffs(keyed.select("__g", "__h", F.col(id_col).alias("__id")), 1 - test_size)
+    # one row in all; per class, the planner knows the size of the written table
+    cuts = F.broadcast(cuts) if stratify is None else cuts
+    before = (F.col("__h") < F.col("__ch")) | ((F.col("__h") == F.col("__ch"))
+                                               & (F.col(id_col).isNull() | (F.col(id_col) <= F.col("__cid"))))
+    out = keyed.join(cuts, "__g", "left").withColumn(name, F.when(F.coalesce(before, F.lit(False)), "train").otherwise("test"))
+    return out.select(*[c for c in df.columns if c != name], name)
+
+
+def _cutoffs(keyed: DataFrame, share: float) -> DataFrame:
+    """(__g, __ch, __cid): hash and id of the last train row of each class; a class without train rows has no row."""
+    narrow = cut_lineage(keyed)
+    head = F.substring("__h", 1, 4)
+    # at most 65,536 heads a class
+    counts = narrow.groupBy("__g", head.alias("__head")).agg(F.count(F.lit(1)).alias("__n"))
+    heads = Window.partitionBy("__g")
+    marked = counts.withColumns({
+        "__upto": F.sum("__n").over(heads.orderBy("__head").rowsBetween(Window.unboundedPreceding, 0)),
+        "__want": F.bround(F.lit(share) * F.sum("__n").over(heads), 0).cast("long")})  # half-even, as the reference rounds
+    edge = marked.where("__upto >= __want AND __upto - __n < __want").select(
+        "__g", "__head", (F.col("__want") - F.col("__upto") + F.col("__n")).alias("__left"))
+    # the rows under one head: a 65,536th of the class
+    inside = narrow.withColumn("__head", head).join(edge, ["__g", "__head"])
+    place = F.row_number().over(Window.partitionBy("__g").orderBy("__h", "__id"))
+    return cut_lineage(inside.withColumn("__place", place).where("__place = __left").select(
+        "__g", F.col("__h").alias("__ch"), F.col("__id").alias("__cid")))
 
 
 def train_test(df: DataFrame, id_col: str, **kw) -> tuple[DataFrame, DataFrame]:

@@ -147,8 +147,8 @@ def attribution_waterfall(spark, sf_dir):
 @register("churn_cv")
 def churn_cv(spark, sf_dir):
     """MDL8: 3-fold grid search (depth x trees x rate) with early stopping; one row per setting."""
-    train, _, _ = _splits(spark, sf_dir)
-    best, results = M.grid_search(train)
+    train, _, median = _splits(spark, sf_dir)
+    best, results = M.grid_search(train, median=median)
     key = (id(spark), sf_dir, "churn", "cv")
     _CACHE[key] = best
     rows = [(r["maxDepth"], r["maxIter"], float(r["stepSize"]), auc,

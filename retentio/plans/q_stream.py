@@ -41,8 +41,9 @@ def stream_activity(spark, sf_dir):
     log = C.log(spark, sf_dir)
     ST.stage_files(log, f"{run}/source")
     stream = ST.file_stream(spark, f"{run}/source", log.schema)
-    ST.aggregate_stream(ST.activity(stream), f"{run}/sink", f"{run}/checkpoint", "stream_activity")
-    return _activity_out(ST.latest_version(spark, f"{run}/sink"))
+    # the staged files hold the log in no order of time: the lateness allowed covers its whole span
+    ST.window_stream(ST.activity(stream, watermark="3650 days"), f"{run}/sink", f"{run}/checkpoint", "stream_activity")
+    return _activity_out(ST.latest_windows(spark, f"{run}/sink"))
 
 
 @register("stream_tier_kpis", with_log("""

@@ -107,7 +107,7 @@ REQUIRED_COLUMNS = [f.name for f in RAW_SUBSCRIBER.fields
                     if f.name not in (ID_COL, "TotalCharges")]
 
 PREDICTION_LOG = T.StructType([
-    T.StructField("id", T.LongType()),
+    T.StructField("id", _STR),
     T.StructField("customer_id", _STR),
     T.StructField("churn_probability", T.DecimalType(6, 4)),
     T.StructField("churn_prediction", _INT),

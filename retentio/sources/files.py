@@ -73,7 +73,7 @@ def check_batch(df: DataFrame, max_rows: int | None) -> DataFrame:
 def append_predictions(scores: DataFrame, path: str, model_version: str) -> None:
     """SNK2: append score rows to the prediction log (partitioned by tier); errors surface."""
     out = scores.select(
-        F.xxhash64(ID_COL, F.current_timestamp(), F.rand(42)).alias("id"),
+        F.expr("uuid()").alias("id"),
         F.col(ID_COL).alias("customer_id"),
         F.col("churn_probability").cast(PREDICTION_LOG["churn_probability"].dataType).alias("churn_probability"),
         F.col("churn_prediction").cast("int").alias("churn_prediction"),

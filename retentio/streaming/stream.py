@@ -4,12 +4,15 @@
   models and written by ``foreachBatch`` into ``<sink>/batch=<id>`` with
   overwrite, so a replayed batch (after a failure) rewrites the same folder:
   exactly-once output on plain files.
-* Activity (STR2) is a tumbling event-time window with a watermark; the same
-  function runs on a batch DataFrame.
-* Live KPIs (STR3) and activity are small grouped states (windows x tiers),
-  written whole on every batch.
+* Activity (STR2) is a tumbling event-time window with a watermark, run in
+  update mode: windows behind the watermark leave the state, and rows later
+  than it are dropped. Each batch writes the windows it changed; the last
+  state of a window counts. The same function runs on a batch DataFrame.
+* Live KPIs (STR3) are a small grouped state (one row a tier), written whole
+  on every batch.
 * Continuous upsert (STR4) merges batch k into table version k and writes
-  version k + 1; a one-row ``_latest`` pointer names the current version.
+  version k + 1; ``_latest`` gets one appended row a version, the largest of
+  which names the current one.
 
 All folders live under the session's shared checkpoint directory.
 """
@@ -32,13 +35,13 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def stage_files(df: DataFrame, path: str, files: int = 4) -> str:
-    """Write ``df`` as several Parquet files to act as an arriving file stream."""
-    df.repartition(files).write.mode("overwrite").parquet(path)
+def stage_files(df: DataFrame, path: str, files: int | None = None) -> str:
+    """Write ``df`` as Parquet files (its own partitions unless ``files`` is given) to act as an arriving file stream."""
+    (df.repartition(files) if files else df).write.mode("overwrite").parquet(path)
     return path
 
 
-def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 64) -> DataFrame:
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
             .parquet(path))
 
@@ -101,20 +104,38 @@ def aggregate_stream(stream_agg: DataFrame, sink: str, checkpoint: str, name: st
     return sink
 
 
+def window_stream(windows: DataFrame, sink: str, checkpoint: str, name: str) -> str:
+    """Run a watermarked aggregate in update mode; a replayed batch overwrites its own windows."""
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(sink, f"epoch={batch_id}"))
+
+    _run(windows.writeStream.outputMode("update").foreachBatch(write_batch)
+         .option("checkpointLocation", checkpoint), name)
+    return sink
+
+
+def latest_windows(spark: SparkSession, sink: str, keys: tuple[str, ...] = ("w", "churn_risk_tier")) -> DataFrame:
+    """The last state of every window that ``window_stream`` wrote."""
+    told = spark.read.parquet(sink)
+    values = [c for c in told.columns if c not in (*keys, "epoch")]
+    last = told.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("last"))
+    return last.select(*keys, "last.*")
+
+
 def _version_path(table: str, version: int) -> str:
     return os.path.join(table, f"v={version:012d}")
 
 
 def write_version(spark: SparkSession, df: DataFrame, table: str, version: int) -> None:
-    """Write a table version, then move the one-row ``_latest`` pointer to it."""
+    """Write a table version, then name it in ``_latest``; earlier names stay, so a crash never leaves none."""
     df.write.mode("overwrite").parquet(_version_path(table, version))
-    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("overwrite") \
+    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append") \
         .json(os.path.join(table, "_latest"))
 
 
 def latest_version(spark: SparkSession, table: str) -> DataFrame:
-    """Read the version the pointer names (works on any shared filesystem)."""
-    v = spark.read.json(os.path.join(table, "_latest")).first()["version"]
+    """Read the newest version that was named (works on any shared filesystem)."""
+    v = spark.read.schema("version long").json(os.path.join(table, "_latest")).agg(F.max("version")).first()[0]
     return spark.read.parquet(_version_path(table, v))
 
 

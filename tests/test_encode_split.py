@@ -61,3 +61,19 @@ def test_sample_k(spark):
     a = [r["id"] for r in SP.sample_k(df, "id", 10).collect()]
     b = [r["id"] for r in SP.sample_k(df.repartition(4), "id", 10).collect()]
     assert a == b and len(a) == 10
+
+
+def test_exact_split_edges(spark):
+    rows = [(str(i), None if i % 4 == 0 else "a") for i in range(41)] + [(None, "b"), ("7", "one")]
+    df = spark.createDataFrame(rows, "id string, y string")
+    got = {(r["y"], r["split"]): r["count"] for r in SP.assign_split(df, "id", stratify="y").groupBy("y", "split").count().collect()}
+    assert got[(None, "train")] == round(0.8 * 11) and got[("a", "train")] == round(0.8 * 30)
+    assert got[("b", "train")] == 1 and got[("one", "train")] == 1 and sum(got.values()) == 43
+    assert SP.assign_split(df.where("false"), "id", exact=True).count() == 0
+    assert SP.assign_split(df, "id", exact=True, test_size=1.0).where("split = 'train'").count() == 0
+    # the ranks by hash, brute force
+    import hashlib
+    ids = [str(i) for i in range(200)]
+    split = {r["id"]: r["split"] for r in SP.assign_split(spark.createDataFrame([(i,) for i in ids], "id string"), "id", exact=True).collect()}
+    ranked = sorted(ids, key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
+    assert {i for i in ids if split[i] == "train"} == set(ranked[:160])

@@ -16,15 +16,15 @@ def _rows(df, cols=None):
 
 
 def _stream_of(spark, df, run):
-    ST.stage_files(df, f"{run}/source")
-    return ST.file_stream(spark, f"{run}/source", df.schema)
+    ST.stage_files(df, f"{run}/source", files=4)
+    return ST.file_stream(spark, f"{run}/source", df.schema, files_per_trigger=1)
 
 
 def test_activity_and_tier_kpis_stream_equal_batch(spark, sf):
     log = C.log(spark, sf)
     run = ST.run_folder(spark, "t-activity")
-    ST.aggregate_stream(ST.activity(_stream_of(spark, log, run)), f"{run}/sink", f"{run}/ckpt", "t_act")
-    streamed = ST.latest_version(spark, f"{run}/sink")
+    ST.window_stream(ST.activity(_stream_of(spark, log, run), watermark="3650 days"), f"{run}/sink", f"{run}/ckpt", "t_act")
+    streamed = ST.latest_windows(spark, f"{run}/sink")
     flat = lambda d: d.select(F.col("w.start").alias("start"), "churn_risk_tier", "predictions",
                               F.round("avg_probability", 9).alias("p"))
     assert _rows(flat(streamed)) == _rows(flat(ST.activity(log)))
@@ -65,3 +65,23 @@ def test_score_stream_appends_each_row_once(spark, sf):
     assert out.count() == feats.count()
     assert out.select("customerID").distinct().count() == feats.count()
     assert set(out.columns) >= {"model_version", "predicted_at", "batch_id"}
+
+
+def test_activity_drops_rows_behind_the_watermark(spark):
+    run = ST.run_folder(spark, "t-late")
+    schema = "predicted_at timestamp, churn_probability double"
+    # Spark holds a batch's rows against the watermark that its predecessor began with
+    for rows in ([("2024-04-01 10:00:00", 0.9)], [("2024-04-01 11:00:00", 0.9)], [("2024-02-01 10:00:00", 0.9), ("2024-04-02 10:00:00", 0.9)]):
+        df = spark.createDataFrame(rows, "at string, churn_probability double")
+        df.select(F.col("at").cast("timestamp").alias("predicted_at"), "churn_probability").coalesce(1).write.mode("append").parquet(f"{run}/source")
+    stream = ST.file_stream(spark, f"{run}/source", schema, files_per_trigger=1)
+    ST.window_stream(ST.activity(stream), f"{run}/sink", f"{run}/ckpt", "t_late")
+    got = ST.latest_windows(spark, f"{run}/sink").select(F.date_format("w.start", "MM-dd").alias("d"), "predictions").collect()
+    assert sorted((r.d, r.predictions) for r in got) == [("04-01", 2), ("04-02", 1)]
+
+
+def test_versions_keep_a_current_one(spark):
+    run = ST.run_folder(spark, "t-version")
+    for k in (0, 1, 1):
+        ST.write_version(spark, spark.range(k + 1), run, k)
+    assert ST.latest_version(spark, run).count() == 2
