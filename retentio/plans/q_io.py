@@ -54,14 +54,15 @@ def first_rows(spark, sf_dir):
 SELECT "customerID" AS customer_id, CAST(CAST(churn_probability AS DECIMAL(6,4)) AS DOUBLE) AS churn_probability,
        CASE WHEN churn_probability >= 0.5 THEN 1 ELSE 0 END AS churn_prediction,
        CASE WHEN churn_probability >= 0.65 THEN 'HIGH' WHEN churn_probability >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS churn_risk_tier,
-       CAST(CAST(ltv_prediction AS DECIMAL(10,2)) AS DOUBLE) AS ltv_prediction, model_version
+       CAST(CAST(CAST(ltv_prediction AS DECIMAL(20,6)) AS DECIMAL(10,2)) AS DOUBLE) AS ltv_prediction, model_version
 FROM sc, (VALUES ('2.0.0'), ('2.0.1')) AS v(model_version)"""))
 def prediction_log_append(spark, sf_dir):
     """SNK2: score rows appended twice to a tier-partitioned log; both appends are kept."""
     from ..operators.segment import add_tier
     path = run_folder(spark, "log")
     sc = add_tier(C.scores(spark, sf_dir)).withColumn(
-        "churn_prediction", EV.hard_label("churn_probability"))
+        "churn_prediction", EV.hard_label("churn_probability")).withColumn(
+        "ltv_prediction", C.r6("ltv_prediction"))  # 6 decimals first, so that half cents round alike in both engines
     FS.append_predictions(sc, path, "2.0.0")
     FS.append_predictions(sc, path, "2.0.1")
     return spark.read.parquet(path).drop("predicted_at", "id").withColumns(
