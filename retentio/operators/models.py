@@ -210,7 +210,7 @@ def grid_search(train: DataFrame, grid: dict | None = None, folds: int = CV_FOLD
     maps = builder.build()
     ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction",
                                        metricName="areaUnderROC", numBins=0)
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=ev, foldCol="fold",
+    cv = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=ev, foldCol="fold", numFolds=folds,
                         parallelism=parallelism, seed=seed)
     cv_model = cv.fit(data)
     results = [({p.name: v for p, v in m.items()}, float(a)) for m, a in zip(maps, cv_model.avgMetrics)]
