@@ -3,10 +3,13 @@
 Four strict patterns with their checks give the base spans, which always stay.
 Loose generators (addresses with a written-out at sign, clusters of digits in
 any grouping) propose further, overlapping spans. Boosted trees score every
-proposal from its format and its surroundings. They learn, on a bounded sample
-of documents chosen by a hash of the id, to tell proposals that meet a base
-span from those that don't; the checks that define the base (check digits,
-leading plus) are not among the features, so look-alikes score high as well.
+proposal from its format and its surroundings. They learn on a bounded sample
+of documents chosen by a hash of the id. Labels do not equal "meets a base
+span": proposals that meet one are positives, proposals that meet none are
+labelled by format and context (RULE), and each base span is written anew twice,
+in a form the strict pattern misses (MASKED, a positive) and in one that is no
+personal data (SPOILED, a negative). So look-alikes of every kind can be
+positives, also where the sample holds none, and plain numbers are negatives.
 Per kind, the threshold is the least score at which held-out proposals reach
 the wanted precision; a kind that never reaches it adds nothing.
 
@@ -16,8 +19,8 @@ quantifiers, which match in linear time and without recursion on texts of any
 length. Offsets count code points, ends are exclusive.
 
 Defined results: null or empty text has no spans; rows are independent; an
-empty table, or a sample with proposals of one class only, gives base spans
-alone; among selected proposals that overlap the leftmost, then longest stays;
+empty table, a sample with proposals of one class only, or too few judged
+proposals to show the wanted precision give base spans alone; among selected proposals that overlap the leftmost, then longest stays;
 extra columns are kept, columns of the same names replaced.
 """
 
@@ -88,7 +91,7 @@ def with_base(docs: DataFrame, text: str) -> DataFrame:
     return out.withColumn("_base", F.concat(*cols)).drop(*cols)
 
 
-#: format and surroundings of a proposal x in its text; no check that defines the base
+#: format and surroundings of a proposal x in its text
 FEATURES = {
     "f_kind": "x.kind",
     "f_length": "x.e - x.s",
@@ -105,15 +108,48 @@ FEATURES = {
     "f_after": "CASE WHEN x.a = '' THEN 0 WHEN x.a RLIKE '^[A-Za-z]' THEN 1 WHEN x.a RLIKE '^[0-9]' THEN 2 WHEN x.a RLIKE '^[ \\n]' THEN 3 ELSE 4 END",
     "f_capital": "CASE WHEN x.b RLIKE '[A-Z][^ ]* ?$' THEN 1 ELSE 0 END",
     "f_quoted": "CASE WHEN x.b RLIKE '[\\'\"=]' THEN 1 ELSE 0 END",
+    "f_luhn": f"CASE WHEN x.kind > 0 AND length({_DIGITS}) BETWEEN 13 AND 19 THEN cast({_LUHN} AS int) ELSE 0 END",
+    "f_octets": f"CASE WHEN x.kind = 1 THEN cast({CHECKS['ip']} AS int) ELSE 0 END",
+    "f_domain": "CASE WHEN x.kind = 0 AND x.m RLIKE '(@|at[)\\\\]] ?)([A-Za-z0-9-]++[.])++[A-Za-z]{2}' THEN 1 ELSE 0 END",
+    "f_plus": "CASE WHEN x.m LIKE '+%' THEN 1 ELSE 0 END",
+    "f_zeros": "CASE WHEN x.m LIKE '00%' THEN 1 ELSE 0 END",
+    "f_date": "CASE WHEN x.m RLIKE '(^|[^0-9])(19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}([^0-9]|$)' THEN 1 ELSE 0 END",
+    "f_word": "CASE WHEN lower(x.b) RLIKE '(tel|phone|call|fax|mobile|cell|card|visa|amex)[^a-z0-9]*$' THEN 1 ELSE 0 END",
 }
 
+#: what a proposal that meets no base span is taken for
+RULE = """CASE x.kind WHEN 0 THEN x.f_domain = 1 WHEN 1 THEN x.f_octets = 1
+WHEN 2 THEN x.f_luhn = 1 AND x.f_before <> 1 AND x.f_after <> 1 AND (x.f_groups >= 3 OR x.f_word = 1)
+ELSE x.f_digits BETWEEN 8 AND 15 AND x.f_before <> 1 AND x.f_after <> 1 AND x.f_date = 0
+     AND (x.f_plus = 1 OR x.f_brackets >= 2 OR x.f_word = 1 OR x.f_zeros = 1 AND x.f_digits >= 10) END"""
+#: a base span x in a form that the strict pattern of its kind misses; an address of four numbers has none
+MASKED = f"""CASE x.kind WHEN 0 THEN replace(x.m, '@', CASE WHEN x.s % 2 = 0 THEN ' (at) ' ELSE '[at]' END) WHEN 1 THEN x.m
+WHEN 2 THEN regexp_replace({_DIGITS}, '([0-9]{{4}})(?=[0-9])', '$1.')
+ELSE CASE WHEN contains(x.m, '(') THEN regexp_replace(x.m, '^[+][0-9]+[ .-]*', '') ELSE concat('00', substr(x.m, 2)) END END"""
+#: a base span x made into no personal data: no domain, a number over 255, a wrong check digit, a plain number or a date
+SPOILED = f"""CASE x.kind WHEN 0 THEN regexp_replace(x.m, '@.*$', CASE WHEN x.s div 2 % 2 = 0 THEN '@here' ELSE ' (at) home' END) WHEN 1 THEN regexp_replace(x.m, '^[0-9]+', '999')
+WHEN 2 THEN concat(CASE WHEN x.s % 2 = 0 THEN substr(x.m, 1, length(x.m) - 1) ELSE regexp_replace(substr({_DIGITS}, 1, length({_DIGITS}) - 1), '([0-9]{{4}})', '$1.') END,
+    (cast(right(x.m, 1) AS int) + 5) % 10)
+ELSE CASE x.s % 3 WHEN 0 THEN {_DIGITS} WHEN 1 THEN regexp_replace({_DIGITS}, '([0-9])(?=([0-9]{{3}})+$)', '$1 ')
+     ELSE concat('20', substr({_DIGITS}, 1, 2), '-0', substr({_DIGITS}, 3, 1), '-1', substr({_DIGITS}, 4, 1), ' ', substr({_DIGITS}, 5, 4)) END END"""
+
+
+def _rewritten(text: str, form: str) -> str:
+    """SQL: the text with each base span in another form, and the places of these; of overlapping spans the first is rewritten."""
+    forms = f"array_sort(transform(_base, x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind, 'm', {form})))"
+    at = "length(a.out) + x.s - a.at"
+    return (f"aggregate({forms}, named_struct('at', 0, 'out', '', 'spans', cast(array() AS {_SPAN})), (a, x) -> CASE WHEN x.s < a.at THEN a "
+            f"ELSE named_struct('at', x.e, 'out', concat(a.out, substring({text}, a.at + 1, x.s - a.at), x.m), 'spans', concat(a.spans, "
+            f"array(named_struct('kind', x.kind, 's', {at}, 'e', {at} + length(x.m), 'm', x.m)))) END, "
+            f"a -> named_struct('body', concat(a.out, substring({text}, a.at + 1, length({text}) - a.at)), 'spans', a.spans))")
+
 
 def with_proposals(docs: DataFrame, text: str) -> DataFrame:
     """Adds _cand: proposals with features and ``hit`` (meets a base span of its kind); needs _base."""
     empty = f"cast(array() AS {_SPAN})"
     address = f"CASE WHEN contains({text}, '@') OR contains({text}, 'at)') OR contains({text}, 'at]') THEN {_found(text, LOOSE['address'], '0')} ELSE {empty} END"
     digits = f"CASE WHEN {text} RLIKE '[0-9]' THEN {_found(text, LOOSE['digits'], '3')} ELSE {empty} END"
-    kind = f"CASE WHEN x.kind = 0 THEN 0 WHEN x.m RLIKE '^[0-9]+([.][0-9]+){{3}}$' THEN 1 WHEN length({_DIGITS}) >= 13 THEN 2 ELSE 3 END"
+    kind = f"CASE WHEN x.kind = 0 THEN 0 WHEN x.m RLIKE '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' THEN 1 WHEN length({_DIGITS}) >= 13 AND NOT x.m RLIKE '^([+]|00)' THEN 2 ELSE 3 END"
     around = (f"transform(concat(_address, _digits), x -> named_struct('kind', {kind}, 's', x.s, 'e', x.e, 'm', x.m, "
               f"'b', substring({text}, greatest(x.s - 11, 1), x.s - greatest(x.s - 12, 0)), 'a', substring({text}, x.e + 1, 2)))")
     scored = ("transform(_around, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, "
@@ -139,15 +175,25 @@ class Model:
         self.margin, self.thresholds = margin, thresholds or {}
 
 
+def with_variants(docs: DataFrame, text: str) -> DataFrame:
+    """id, form, text and _base of the documents as they are and, where they have base spans, with these masked and spoiled; needs _base."""
+    forms = (f"CASE WHEN size(_base) = 0 THEN array(named_struct('form', 'as is', 'body', {text}, 'spans', _base)) ELSE transform(array("
+             f"named_struct('form', 'as is', 'x', named_struct('body', {text}, 'spans', _base)), named_struct('form', 'masked', 'x', {_rewritten(text, MASKED)}), "
+             f"named_struct('form', 'spoiled', 'x', {_rewritten(text, SPOILED)})), v -> named_struct('form', v.form, 'body', v.x.body, 'spans', v.x.spans)) END")
+    return docs.select("id", F.explode(F.expr(forms)).alias("v")).select("id", "v.form", F.col("v.body").alias(text), F.col("v.spans").alias("_base"))
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION,
         doc_id: str = "doc_id", text: str = "text") -> Model:
     place = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1_000_003))
     n = docs.count()
     share = min(1.0, sample_docs / max(1, n))
     body = docs.where(place < F.lit(int(share * 1_000_003) + 1)).select(F.col(doc_id).alias("id"), text_or_empty(text).alias("body"))
-    rows = with_proposals(with_base(body, "body"), "body").select(F.xxhash64("id").alias("h"), F.explode("_cand").alias("x"))
-    rows = cut_lineage(rows.select((F.pmod("h", F.lit(3)) == 0).alias("judge"), F.col("x.hit").cast("double").alias("label"),
-                                   "x.kind", *[f"x.{n}" for n in FEATURES]))
+    rows = with_proposals(with_variants(with_base(body, "body"), "body"), "body").select(F.xxhash64("id").alias("h"), "form", F.explode("_cand").alias("x"))
+    label = F.expr(f"""CASE form WHEN 'as is' THEN CASE WHEN x.hit THEN true WHEN x.free THEN {RULE} END
+        WHEN 'masked' THEN CASE WHEN x.hit AND x.kind <> 1 THEN true END ELSE CASE WHEN NOT x.free THEN false END END""")
+    rows = cut_lineage(rows.select((F.pmod("h", F.lit(3)) == 0).alias("judge"), label.cast("double").alias("label"),
+                                   "x.kind", *[f"x.{n}" for n in FEATURES]).where("label IS NOT NULL"))
     seen = {(r["judge"], r["label"]) for r in rows.select("judge", "label").distinct().collect()}  # at most four rows
     if not {(False, 0.0), (False, 1.0)} <= seen:
         return Model()

@@ -256,6 +256,30 @@ def test_pii(spark, empty):
     assert pii.report(empty, pii.fit(empty)).count() == 0
 
 
+def luhn_valid(digits):
+    return next(digits + str(k) for k in range(10) if sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits + str(k)))) % 10 == 0)
+
+
+def test_pii_adds_look_alikes_that_meet_no_base_span(spark):
+    r = random.Random(8)
+    num = lambda n: "".join(r.choices("0123456789", k=n))
+    rows = []
+    for k in range(1200):
+        rows.append(f"{'w' * r.randint(1, 9)} u{k}@mail{k % 7}.example.com then {luhn_valid('4' + num(14))} and +1 ({num(3)}) 555-{num(4)} from {r.randint(1, 255)}.{r.randint(1, 255)}.10.200 "
+                    f"hex a{num(9)}f or 1{num(8)} end")
+    right = ["ask jo.doe (at) mail.example.org now", "ring (377) 555-0271 now", "paid by 4845.1681.1440.7329 now"]
+    wrong = ["ring 3775550271 now", "on 2024-01-15 1230 now", "code 4845.1681.1440.7328 now", "net 999.10.20.30 now", "see 4845168114407328 now", "see user@here now",
+             "token a36974748794293d now"]
+    docs = spark.createDataFrame(list(enumerate(rows + right + wrong)), "doc_id long, text string")
+    model = pii.fit(docs)
+    assert {0, 2, 3} <= set(model.thresholds)
+    got = {x.doc_id - len(rows): x.spans for x in pii.report(docs, model).where(F.col("doc_id") >= len(rows)).collect()}
+    assert [got[k] for k in range(3)] == ["email:4:32", "phone:5:19", "card:8:27"]
+    assert [got[k] for k in range(3, 10)] == [""] * 7
+    clean = pii.redacted(docs.where(F.col("doc_id") == len(rows)), model).first().text
+    assert clean == "ask [EMAIL] now"
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
