@@ -116,6 +116,13 @@ class EncoderState:
         va = VectorAssembler(inputCols=cols, outputCol=output, handleInvalid="keep")
         return va.transform(enc).drop(*cols)
 
+    def long(self, df: DataFrame, id_col: str) -> DataFrame:
+        """FE10 in long form: one (id, feature, value) row per row and training column, zeros included."""
+        enc = self.transform(df, [id_col], positional=True)
+        cells = F.explode(F.array(*[F.struct(F.lit(name).alias("feature"), F.col(f"__f{i}").alias("value"))
+                                    for i, name in enumerate(self.feature_columns)]))
+        return enc.select(id_col, cells.alias("__c")).select(id_col, "__c.feature", "__c.value")
+
     # -- persistence (SNK5) ------------------------------------------------
     def to_json(self) -> str:
         return json.dumps({"categories": self.categories,

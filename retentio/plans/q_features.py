@@ -163,9 +163,9 @@ WITH sp AS (SELECT f.*, CASE WHEN substr(md5('42:' || "customerID"), 1, 8) < '33
      trained AS (SELECT DISTINCT feature FROM lng WHERE split = 'train')
 SELECT "customerID", feature FROM lng WHERE split = 'test' AND feature IN (SELECT feature FROM trained)"""))
 def aligned_matrix(spark, sf_dir):
-    """FE10: scoring rows encoded with the training categories (unseen dropped).
+    """FE10 on four columns: scoring rows encoded with the training categories (unseen dropped).
 
-    Long form of the aligned one-hot block: a row per set training feature.
+    The whole matrix, with its zeros, is ``aligned_matrix_wide``. Long form of the aligned one-hot block: a row per set training feature.
     Fit on the train split, applied to the test split.
     """
     f = SP.assign_split(C.features(spark, sf_dir), "customerID")
@@ -176,6 +176,34 @@ def aligned_matrix(spark, sf_dir):
         .select("customerID", "feature")
 
 
+_WIDE_CATS = [*CATEGORICAL, "tenure_group"]
+_WIDE_CATS_SQL = ", ".join(f'"{c}"' for c in _WIDE_CATS)
+_WIDE_NUMS_SQL = " UNION ALL ".join(
+    f"""SELECT "customerID", '{c}' AS feature, ROUND((COALESCE("{c}", m) - m) / CASE WHEN d > 0 THEN d ELSE 1.0 END, 6) + 0.0 AS value
+FROM sp, (SELECT AVG("{c}") AS m, STDDEV_SAMP("{c}") AS d FROM sp WHERE split = 'train') WHERE split = 'test'""" for c in NUMERICAL_WIDE)
+
+
+@register("aligned_matrix_wide", with_features(f"""
+WITH sp AS (SELECT f.* REPLACE (CAST("SeniorCitizen" AS VARCHAR) AS "SeniorCitizen"),
+                   CASE WHEN substr(md5('42:' || "customerID"), 1, 8) < '33333333' THEN 'test' ELSE 'train' END AS split FROM f),
+     lng AS (SELECT "customerID", split, col_name || '_' || val AS feature
+             FROM (SELECT "customerID", split, {_WIDE_CATS_SQL} FROM sp) UNPIVOT (val FOR col_name IN ({_WIDE_CATS_SQL}))),
+     trained AS (SELECT DISTINCT feature FROM lng WHERE split = 'train')
+SELECT t."customerID", trained.feature, CASE WHEN lng.feature IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS value
+FROM (SELECT "customerID" FROM sp WHERE split = 'test') t CROSS JOIN trained
+LEFT JOIN lng ON lng."customerID" = t."customerID" AND lng.feature = trained.feature
+UNION ALL {_WIDE_NUMS_SQL}"""))
+def aligned_matrix_wide(spark, sf_dir):
+    """FE10: all categorical and numeric columns of the test rows, aligned to the training columns (absent -> 0, extra dropped).
+
+    The wide numeric list holds the narrow one. Long form: a row per test row and training column.
+    """
+    f = SP.assign_split(C.features(spark, sf_dir), "customerID").select("customerID", "split", *_WIDE_CATS, *NUMERICAL_WIDE)
+    train, test = f.where(F.col("split") == "train").drop("split"), f.where(F.col("split") == "test").drop("split")
+    state = EN.fit_encoder(train, _WIDE_CATS, NUMERICAL_WIDE, exclude=["customerID"])
+    return state.long(test, "customerID").select("customerID", "feature", C.r6("value"))
+
+
 # ---------------------------------------------------------------- histograms
 @register("hist_monthly", with_clean("""
 WITH e AS (SELECT MIN("MonthlyCharges") AS lo, MAX("MonthlyCharges") AS hi FROM c),
