@@ -217,6 +217,18 @@ def hist_monthly(spark, sf_dir):
     return h.select("bin", C.r6("bin_lo"), C.r6("bin_hi"), "n")
 
 
+@register("hist_total", with_clean("""
+WITH e AS (SELECT MIN("TotalCharges") AS lo, MAX("TotalCharges") AS hi FROM c),
+b AS (SELECT CASE WHEN hi > lo THEN LEAST(CAST(FLOOR(("TotalCharges" - lo) / (hi - lo) * 20) AS BIGINT), 19)
+                  ELSE 0 END AS bin, lo, hi FROM c, e WHERE "TotalCharges" IS NOT NULL)
+SELECT bin, ROUND(lo + bin * ((hi - lo) / 20), 6) AS bin_lo, ROUND(lo + (bin + 1) * ((hi - lo) / 20), 6) AS bin_hi,
+       COUNT(*) AS n FROM b GROUP BY bin, lo, hi"""))
+def hist_total(spark, sf_dir):
+    """HST1: 20 equal-width bins of cleaned total charges."""
+    h = H.histogram(C.customers(spark, sf_dir), "TotalCharges", 20)
+    return h.select("bin", C.r6("bin_lo"), C.r6("bin_hi"), "n")
+
+
 @register("hist_monthly_by_churn", with_clean("""
 WITH e AS (SELECT MIN("MonthlyCharges") AS lo, MAX("MonthlyCharges") AS hi FROM c),
 b AS (SELECT "Churn", CASE WHEN hi > lo THEN LEAST(CAST(FLOOR(("MonthlyCharges" - lo) / (hi - lo) * 30) AS BIGINT), 29)
@@ -282,6 +294,50 @@ def kde_monthly(spark, sf_dir):
                     C.r6(F.col("density") * F.col("__sd"), "density_x_sd"))
 
 
+@register("kde_total", with_clean("""
+WITH st AS (SELECT MIN("TotalCharges") AS lo, MAX("TotalCharges") AS hi, COUNT(*) AS n,
+                   STDDEV_SAMP("TotalCharges") AS sd FROM c WHERE "TotalCharges" IS NOT NULL),
+b AS (SELECT CASE WHEN hi > lo THEN LEAST(CAST(FLOOR(("TotalCharges" - lo) / (hi - lo) * 1024) AS BIGINT), 1023)
+                  ELSE 0 END AS bin, COUNT(*) AS cnt
+      FROM c, st WHERE "TotalCharges" IS NOT NULL GROUP BY 1),
+g AS (SELECT range AS point FROM range(0, 200)),
+k AS (SELECT point, SUM(cnt * EXP(-0.5 * POWER(((lo + point * (hi - lo) / 199)
+                                   - (lo + (bin + 0.5) * (hi - lo) / 1024)) / (sd * POWER(CAST(n AS DOUBLE), -0.2)), 2))) AS sm
+      FROM b, g, st GROUP BY point)
+SELECT point, ROUND(lo + point * (hi - lo) / 199, 6) AS x,
+       ROUND(sm / (n * sd * POWER(CAST(n AS DOUBLE), -0.2) * SQRT(2 * PI())) * sd, 6) AS density_x_sd
+FROM k, st"""))
+def kde_total(spark, sf_dir):
+    """HST4: total charges, binned Gaussian KDE on a 200-point grid (density scaled by the std)."""
+    c = C.customers(spark, sf_dir)
+    sd = c.agg(F.stddev_samp("TotalCharges").alias("__sd"))
+    k = H.kde(c, "TotalCharges").crossJoin(F.broadcast(sd))
+    return k.select(F.col("point").cast("long").alias("point"), C.r6("x"),
+                    C.r6(F.col("density") * F.col("__sd"), "density_x_sd"))
+
+
+@register("kde_tenure", with_clean("""
+WITH st AS (SELECT MIN("tenure") AS lo, MAX("tenure") AS hi, COUNT(*) AS n,
+                   STDDEV_SAMP("tenure") AS sd FROM c WHERE "tenure" IS NOT NULL),
+b AS (SELECT CASE WHEN hi > lo THEN LEAST(CAST(FLOOR((CAST("tenure" AS DOUBLE) - lo) / (hi - lo) * 1024) AS BIGINT), 1023)
+                  ELSE 0 END AS bin, COUNT(*) AS cnt
+      FROM c, st WHERE "tenure" IS NOT NULL GROUP BY 1),
+g AS (SELECT range AS point FROM range(0, 200)),
+k AS (SELECT point, SUM(cnt * EXP(-0.5 * POWER(((lo + point * (hi - lo) / 199)
+                                   - (lo + (bin + 0.5) * (hi - lo) / 1024)) / (sd * POWER(CAST(n AS DOUBLE), -0.2)), 2))) AS sm
+      FROM b, g, st GROUP BY point)
+SELECT point, ROUND(lo + point * (hi - lo) / 199, 6) AS x,
+       ROUND(sm / (n * sd * POWER(CAST(n AS DOUBLE), -0.2) * SQRT(2 * PI())) * sd, 6) AS density_x_sd
+FROM k, st"""))
+def kde_tenure(spark, sf_dir):
+    """HST4: tenure, binned Gaussian KDE on a 200-point grid (density scaled by the std)."""
+    c = C.labelled(spark, sf_dir)
+    sd = c.agg(F.stddev_samp("tenure").alias("__sd"))
+    k = H.kde(c, "tenure").crossJoin(F.broadcast(sd))
+    return k.select(F.col("point").cast("long").alias("point"), C.r6("x"),
+                    C.r6(F.col("density") * F.col("__sd"), "density_x_sd"))
+
+
 @register("box_by_churn", with_clean("""
 WITH q AS (SELECT "Churn", QUANTILE_CONT("MonthlyCharges", 0.25) AS q1, MEDIAN("MonthlyCharges") AS median,
                   QUANTILE_CONT("MonthlyCharges", 0.75) AS q3 FROM c GROUP BY "Churn")
@@ -300,6 +356,24 @@ def box_by_churn(spark, sf_dir):
                     C.r6("whisker_lo"), C.r6("whisker_hi"), "outliers")
 
 
+@register("box_tenure_by_churn", with_clean("""
+WITH q AS (SELECT "Churn", QUANTILE_CONT("tenure", 0.25) AS q1, MEDIAN("tenure") AS median,
+                  QUANTILE_CONT("tenure", 0.75) AS q3 FROM c GROUP BY "Churn")
+SELECT q."Churn", ROUND(q1, 6) AS q1, ROUND(median, 6) AS median, ROUND(q3, 6) AS q3,
+       ROUND(q3 - q1, 6) AS iqr, COUNT(*) AS n,
+       ROUND(MIN(CASE WHEN "tenure" >= q1 - 1.5 * (q3 - q1) THEN CAST("tenure" AS DOUBLE) END), 6) AS whisker_lo,
+       ROUND(MAX(CASE WHEN "tenure" <= q3 + 1.5 * (q3 - q1) THEN CAST("tenure" AS DOUBLE) END), 6) AS whisker_hi,
+       CAST(SUM(CASE WHEN "tenure" < q1 - 1.5 * (q3 - q1) OR "tenure" > q3 + 1.5 * (q3 - q1)
+                THEN 1 ELSE 0 END) AS BIGINT) AS outliers
+FROM c JOIN q ON c."Churn" IS NOT DISTINCT FROM q."Churn"
+GROUP BY q."Churn", q1, median, q3"""))
+def box_tenure_by_churn(spark, sf_dir):
+    """HST5: exact quartiles and whiskers of tenure by churn class."""
+    b = H.box_summary(C.labelled(spark, sf_dir), "tenure", ["Churn"])
+    return b.select("Churn", C.r6("q1"), C.r6("median"), C.r6("q3"), C.r6("iqr"), "n",
+                    C.r6("whisker_lo"), C.r6("whisker_hi"), "outliers")
+
+
 # ---------------------------------------------------------------- splits
 _HASH_TEST = """CASE WHEN substr(md5('42:' || "customerID"), 1, 8) < '33333333' THEN 'test' ELSE 'train' END"""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as EV
+from ..operators import split as SP
+from ..operators.clean import clean
 from ..operators.quantile import exact_median
 from ..schemas import RAW_SUBSCRIBER
 from ..sources import files as FS
@@ -43,6 +45,50 @@ def json_roundtrip(spark, sf_dir):
     return _raw_out(FS.read_records_json(spark, path))
 
 
+_REQUEST_SQL = with_subscribers(f"""
+SELECT {_RAW_COLS_SQL} FROM (SELECT * FROM s ORDER BY md5('42:' || "customerID"), "customerID" LIMIT 500)""")
+
+
+@register("csv_batch", _REQUEST_SQL)
+def csv_batch(spark, sf_dir):
+    """SRC3: a scoring file of 500 customers, read through the guards of the batch service."""
+    path = run_folder(spark, "batch") + ".csv"
+    (SP.sample_k(C.raw(spark, sf_dir), "customerID", 500).write.option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return _raw_out(FS.read_batch_csv(spark, path))
+
+
+@register("json_batch", _REQUEST_SQL)
+def json_batch(spark, sf_dir):
+    """SRC4: a scoring request of 500 records, read through the guards of the batch service."""
+    path = run_folder(spark, "batch-json")
+    SP.sample_k(C.raw(spark, sf_dir), "customerID", 500).write.json(path)
+    return _raw_out(FS.read_batch_json(spark, path))
+
+
+@register("stored_splits", with_clean("""
+SELECT "customerID", CASE WHEN substr(md5('42:' || "customerID"), 1, 8) < '33333333' THEN 'test' ELSE 'train' END AS split,
+       tenure, "Churn" FROM c"""))
+def stored_splits(spark, sf_dir):
+    """SRC6/SNK4: the splits written, read back as features and labels, and put side by side."""
+    path = run_folder(spark, "splits")
+    FS.write_table(SP.assign_split(C.labelled(spark, sf_dir), "customerID"), path, ["split"])
+    x_train, x_test, y_train, y_test = FS.read_splits(spark, path, "Churn")
+    parts = [x.join(y, "customerID").select("customerID", F.lit(s).alias("split"), "tenure", "Churn")
+             for s, x, y in (("train", x_train, y_train), ("test", x_test, y_test))]
+    return parts[0].unionByName(parts[1])
+
+
+@register("dashboard_load", with_clean("""
+SELECT c."customerID", s."Churn", ROUND(c."TotalCharges", 6) AS "TotalCharges",
+       CASE WHEN s."Churn" = 'Yes' THEN 1 ELSE 0 END AS "Churn_Binary" FROM c JOIN s ON s."customerID" = c."customerID" """))
+def dashboard_load(spark, sf_dir):
+    """SRC7: cleaned totals beside the churn text and ``Churn_Binary``, 0 for anything but Yes."""
+    raw = C.raw(spark, sf_dir).withColumn("__churn", F.col("Churn")).withColumn(
+        "Churn_Binary", F.coalesce((F.col("Churn") == "Yes").cast("int"), F.lit(0)))
+    return clean(raw).select("customerID", F.col("__churn").alias("Churn"), C.r6("TotalCharges"), "Churn_Binary")
+
+
 @register("first_rows", with_subscribers("""
 SELECT "customerID", tenure, "Contract" FROM s ORDER BY "customerID" LIMIT 5"""))
 def first_rows(spark, sf_dir):

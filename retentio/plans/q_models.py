@@ -169,3 +169,11 @@ def tree_attributions(spark, sf_dir):
 def mean_abs_tree_attribution(spark, sf_dir):
     """EXP2 (trees): mean |attribution| per feature of the booster, top 15."""
     return EX.mean_abs_attribution(tree_attributions(spark, sf_dir))
+
+
+@register("tree_attribution_waterfall")
+def tree_attribution_waterfall(spark, sf_dir):
+    """EXP3 (trees): base value, 12 largest contributions and the rest for the booster's top-risk customer."""
+    s = _test_scores(spark, sf_dir, "gbt")
+    top = s.orderBy(F.desc("__p"), "customerID").limit(1)
+    return EX.waterfall(tree_attributions(spark, sf_dir), top)

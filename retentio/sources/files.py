@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import ID_COL, PREDICTION_LOG, RAW_SUBSCRIBER, REQUIRED_COLUMNS
+from ..schemas import ID_COL, MAX_CSV_BATCH, MAX_JSON_BATCH, PREDICTION_LOG, RAW_SUBSCRIBER, REQUIRED_COLUMNS
 
 
 def read_subscribers_csv(spark: SparkSession, path: str, schema=RAW_SUBSCRIBER) -> DataFrame:
@@ -70,6 +70,25 @@ def check_batch(df: DataFrame, max_rows: int | None) -> DataFrame:
     return df
 
 
+def read_batch_csv(spark: SparkSession, path: str, max_rows: int | None = MAX_CSV_BATCH) -> DataFrame:
+    """SRC3: a batch scoring file: .csv only, not empty, at most ``max_rows`` rows."""
+    if not path.endswith(".csv"):
+        raise ValueError("only .csv files are accepted")
+    return check_batch(read_subscribers_csv(spark, path), max_rows)
+
+
+def read_batch_json(spark: SparkSession, path: str, max_rows: int | None = MAX_JSON_BATCH) -> DataFrame:
+    """SRC4: a batch scoring request of 1 to ``max_rows`` records."""
+    return check_batch(read_records_json(spark, path), max_rows)
+
+
+def read_splits(spark: SparkSession, path: str, label: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """SRC6: X_train, X_test, y_train, y_test of a table that ``write_table`` stored by ``split``."""
+    stored = spark.read.parquet(path)
+    parts = [stored.where(F.col("split") == s).drop("split") for s in ("train", "test")]
+    return (*(p.drop(label) for p in parts), *(p.select(ID_COL, label) for p in parts))
+
+
 def append_predictions(scores: DataFrame, path: str, model_version: str) -> None:
     """SNK2: append score rows to the prediction log (partitioned by tier); errors surface."""
     out = scores.select(
