@@ -2,28 +2,31 @@
 
 A fingerprint has a bit where over half of the XXH64 hashes of a text's word
 shingles have it. Distinct fingerprints are dealt to shards that must hold
-both ends of every link: the 64 bits are cut into ``radius + 2`` blocks, and
-two fingerprints that differ in at most ``radius`` bits agree on two whole
-blocks at least, so each pair of blocks (their bits: the shard key) gives a
-shard. Within a shard a BK-tree (children keyed by the integer Hamming
-distance to their parent) is searched along the edges within the radius.
-
-All fingerprints together have no size bound, so the shard trees are not
-broadcast: tree and queries of a shard meet in one task. A shard above
-``CHUNK`` members is split into chunks; each ordered pair of chunks is a task
-of its own (tree of one, queries of the other), so no task holds more than two
-chunks. A task emits only a spanning forest of the links it finds.
+both ends of every link: the 64 bits are cut into ``radius + 1`` groups, two
+fingerprints that differ in at most ``radius`` bits agree on a whole group, and
+the leading bits of a group (as many as make shards of some thousand members,
+more where a shard is larger, see ``steps``) are the shard's key. Within a
+shard a BK-tree (children keyed by the integer Hamming distance to their
+parent) is built and searched along the edges within the radius.
+
+A shard's tree is searched by the shard's own members and by nobody else, so
+tree and queries meet in one task by a shuffle of 8-byte numbers. A broadcast
+would carry every tree to every executor and all fingerprints through the
+driver, for which there is no size bound. A shard that still is too large
+after all bits that links must share is cut into chunks; each ordered pair of
+chunks is a task (tree of one, queries of the other). A task emits only a spanning forest of the links it finds.
 Components are found by large-star/small-star rounds over these edges.
 
 Defined results: null and empty texts have fingerprint zero and link like any
-other; rows of equal text always share a component; rows that share a doc_id
-are one document; null ids count as the largest id and are a component's name
-only where it has no other; an empty table gives no rows.
+other; rows of equal text always share a component; null ids count as the
+largest id and are a component's name only where it has no other; ids may be of any type that can be
+ordered; columns beside id and text are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
+from functools import reduce
 from typing import Iterator
 
 import numpy as np
@@ -35,7 +38,9 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import small_batches, text_or_empty
 
-SHINGLE, RADIUS, SEED, CHUNK = 3, 2, 42, 4096
+SHINGLE, RADIUS, SEED = 3, 2, 42
+#: fingerprints of a shard, and queries that search a tree at once
+SHARD, _QUERIES = 4096, 512
 #: hashes whose bits are counted at once
 _BLOCK = 1 << 14
 
@@ -70,39 +75,49 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
 
 
 class BKTree:
-    """Children of a node are keyed by their integer Hamming distance to it."""
-
-    def __init__(self):
-        self.items: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def add(self, item: int) -> None:
-        at = 0
-        if self.items:
-            while True:
-                d = (self.items[at] ^ item).bit_count()
-                if d == 0:
-                    return
-                below = self.children[at].get(d)
-                if below is None:
-                    self.children[at][d] = len(self.items)
-                    break
-                at = below
-        self.items.append(item)
-        self.children.append({})
-
-    def within(self, item: int, radius: int) -> Iterator[int]:
-        stack = [0] if self.items else []
-        while stack:
-            at = stack.pop()
-            d = (self.items[at] ^ item).bit_count()
-            if d <= radius:
-                yield self.items[at]
-            edges = self.children[at]
-            if edges:
-                for k in range(d - radius, d + radius + 1):
-                    if (below := edges.get(k)) is not None:
-                        stack.append(below)
+    """Children of a node are keyed by their integer Hamming distance to it; built and searched level by level.
+
+    ``items`` are distinct unsigned 64-bit numbers; the tree is the one that
+    inserting them in this order gives. ``edges`` holds node * 65 + distance in
+    ascending order, ``ends`` the child at each edge. ``visited`` counts the
+    nodes that searches compared.
+    """
+
+    def __init__(self, items: np.ndarray):
+        self.items, self.visited = items, 0
+        codes, ends = [], []
+        rest, owner = np.arange(1, len(items)), np.zeros(max(len(items) - 1, 0), np.int64)
+        while len(rest):
+            code = owner * 65 + np.bitwise_count(items[rest] ^ items[owner])
+            # the first item at a distance becomes the child there, the others go on below it
+            found, first, back = np.unique(code, return_index=True, return_inverse=True)
+            child = rest[first]
+            codes.append(found)
+            ends.append(child)
+            owner = child[back]
+            below = rest != owner
+            rest, owner = rest[below], owner[below]
+        codes, ends = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (codes, ends))
+        order = np.argsort(codes)
+        self.edges, self.ends = codes[order], ends[order]
+
+    def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query place, item place) of all items within the radius, following only the edges within it."""
+        if not len(self.items):
+            return
+        for start in range(0, len(queries), _QUERIES):
+            query = np.arange(start, min(start + _QUERIES, len(queries)))
+            node = np.zeros(len(query), np.int64)
+            while len(node):
+                self.visited += len(node)
+                far = np.bitwise_count(self.items[node] ^ queries[query]).astype(np.int64)
+                near = far <= radius
+                yield query[near], node[near]
+                low = np.searchsorted(self.edges, node * 65 + np.maximum(far - radius, 0))
+                n = np.searchsorted(self.edges, node * 65 + np.minimum(far + radius, 64), "right") - low
+                # the edges low .. low + n of every node, one after the other
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                query, node = np.repeat(query, n), self.ends[np.repeat(low, n) + step]
 
 
 def _forest(pairs) -> list[tuple[int, int]]:
@@ -130,76 +145,107 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def shard_links(trees: list[int], queries: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """Spanning forest (signed members) of the links between ``trees`` and ``queries`` (None: among ``trees``)."""
-    tree = BKTree()
+def shard_links(trees: np.ndarray, queries: np.ndarray | None, radius: int) -> tuple[list[tuple[int, int]], int]:
+    """Spanning forest of the links between ``trees`` and ``queries`` (None: among ``trees``), signed; nodes visited."""
+    items = trees.view(np.uint64)
+    tree = BKTree(items)
+    asked = items if queries is None else queries.view(np.uint64)
 
     def found():
-        for x in trees:
-            u = x & _MASK
+        for q, t in tree.within(asked, radius):
             if queries is None:
-                for hit in tree.within(u, radius):
-                    yield u, hit
-            tree.add(u)
-        for x in queries or ():
-            u = x & _MASK
-            for hit in tree.within(u, radius):
-                yield u, hit
+                q, t = q[q < t], t[q < t]
+            yield from zip(asked.view(np.int64)[q].tolist(), trees[t].tolist())
 
-    return [(_signed(a), _signed(b)) for a, b in _forest(found())]
+    return _forest(found()), tree.visited
 
 
 def _shard_tasks(radius: int):
     """Reads rows sorted by (shard, chunk pair, role) and handles one pair of chunks at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, trees, queries = None, [], []
-        out: list[tuple[int, int]] = []
+        now, held = None, ([], [])
 
-        def close() -> None:
-            if now is not None:
-                out.extend(shard_links(trees, None if now[2] == now[3] else queries, radius))
+        def close() -> list[tuple[int, int]]:
+            if now is None:
+                return []
+            trees, queries = (np.concatenate(x) if x else np.empty(0, np.int64) for x in held)
+            return shard_links(trees, None if now[-2] == now[-1] else queries, radius)[0]
 
+        out: list[tuple[int, int]] = []
         for batch in batches:
-            for c, key, i, j, role, fp in zip(*(batch[n].tolist() for n in ("combo", "key", "ci", "cj", "role", "fp"))):
-                if (c, key, i, j) != now:
-                    close()
-                    now, trees, queries = (c, key, i, j), [], []
-                (queries if role else trees).append(fp)
+            names = ["step", "path", "key", "ci", "cj"]
+            cells, fps, role = batch[names].to_numpy(np.int64), batch["fp"].to_numpy(np.int64), batch["role"].to_numpy()
+            cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1).tolist(), len(cells)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if (cell := tuple(cells[a].tolist())) != now:
+                    out += close()
+                    now, held = cell, ([], [])
+                for k in (0, 1):
+                    held[k].append(fps[a:b][role[a:b] == k])
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
                 out = []
-        close()
-        if out:
+        if out := close():
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+def _groups(bits: list[int], n: int) -> list[list[int]]:
+    return [bits[len(bits) * k // n : len(bits) * (k + 1) // n] for k in range(n)]
+
+
+def steps(n: int, radius: int = RADIUS, shard: int = SHARD) -> list[list[int]]:
+    """Masks of each step by path: the bits on which the members of a shard agree.
+
+    The bits fall into radius + 1 groups; two fingerprints within the radius
+    differ in at most ``radius`` of these, so they agree on a whole group and
+    meet in the shard of any of its leading bits. The first step takes as many
+    bits as make shards of about ``shard`` out of n; shards that are larger take more bits
+    of their group, and when these are used up, bits of groups of the rest.
+    """
+    width = 64 // (radius + 1)
+    first = max(0, min(width, math.ceil(math.log2(max(1, n / shard)))))
+    mask = lambda bits: _signed(sum(1 << b for b in bits))
+    groups = _groups(list(range(64)), radius + 1)
+    # with no bits at all, one shard holds all
+    out = [[0]] if not first else []
+    out += [[mask(g[:w]) for g in groups] for w in sorted({*range(max(first, 4), width, 4), *([first] if first else []), width})]
+    inner = [[(g, h) for h in _groups([b for b in range(64) if b not in g], radius + 1)] for g in groups]
+    for w in range(4, min(len(h) for x in inner for _, h in x) + 1, 5):
+        out.append([mask(g + h[:w]) for x in inner for g, h in x])
+    return out
+
+
+def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """(a, b): a spanning forest, per shard, of the links between distinct fingerprints (column ``fp``)."""
-    small_batches(fps.sparkSession)
-    fps.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    n = radius + 2
-    cuts = [64 * k // n for k in range(n + 1)]
-    masks = [_signed(((1 << cuts[k + 1]) - 1) ^ ((1 << cuts[k]) - 1)) for k in range(n)]
-    keys = F.array(*[
-        F.struct(F.lit(c).alias("combo"), F.col("fp").bitwiseAND(F.lit(_signed((masks[a] | masks[b]) & _MASK))).alias("key"))
-        for c, (a, b) in enumerate(combinations(range(n), 2))
-    ])
-    dealt = fps.select("fp", F.inline(keys))
-    shared = dealt.groupBy("combo", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = dealt.join(shared, ["combo", "key"])
-    parts = F.ceil(F.col("n") / chunk).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    # chunk c is the tree of the pairs (c, c..last) and the queries of the pairs (0..c-1, c)
-    tasks = (members.withColumns({"parts": parts, "mine": mine})
-             .select("combo", "key", "fp", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-             .select("combo", "key", "fp",
-                     F.least("mine", "other").alias("ci"), F.greatest("mine", "other").alias("cj"),
+    masks = steps(fps.count(), radius, shard)
+    at, ready = fps.select("fp", F.lit(0).alias("path")), []
+    for k, now in enumerate(masks):
+        split = len(now) // (len(masks[k - 1]) if k else 1)
+        path = F.explode(F.array(*[F.col("path") * split + j for j in range(split)])) if split > 1 else F.col("path")
+        dealt = at.select("fp", path.alias("path"))
+        dealt = dealt.withColumn("key", F.col("fp").bitwiseAND(F.get(F.array(*[F.lit(m).cast("long") for m in now]), F.col("path"))))
+        sizes = dealt.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1")
+        sized = cut_lineage(dealt.join(sizes, ["path", "key"]).withColumn("step", F.lit(k)))
+        large = sized.where(F.col("n") > shard)
+        last = k == len(masks) - 1 or large.isEmpty()
+        ready.append(sized if last else sized.where(F.col("n") <= shard))
+        if last:
+            break
+        at = large.select("fp", "path")
+    members = reduce(DataFrame.unionByName, ready)
+    # what no bits can part any more is cut into chunks; each ordered pair of chunks is a task of its own
+    parts = F.when(F.col("step") == len(masks) - 1, F.ceil(F.col("n") / shard).cast("int")).otherwise(1)
+    tasks = (members.withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+             .select("step", "path", "key", "fp", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+             .select("step", "path", "key", "fp", F.least("mine", "other").alias("ci"), F.greatest("mine", "other").alias("cj"),
                      (F.col("mine") > F.col("other")).cast("int").alias("role")))
-    return (tasks.repartition("combo", "key", "ci", "cj")
-            .sortWithinPartitions("combo", "key", "ci", "cj", "role", "fp")
+    shards = ["step", "path", "key", "ci", "cj"]
+    return (tasks.repartition(*shards).sortWithinPartitions(*shards, "role", "fp")
             .mapInPandas(_shard_tasks(radius), "a long, b long"))
 
 
@@ -221,24 +267,43 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(seen)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, chunk: int = CHUNK,
+def _placed(docs: DataFrame, shingle: int, radius: int, shard: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """Written rows of ``docs`` with fp in the place of their text, and fp -> root of all distinct fingerprints."""
+    rows = cut_lineage(docs.withColumn("fp", fingerprint(F.col(text), shingle)).drop(text))
+    fps = cut_lineage(rows.select("fp").distinct())
+    found = components(links(fps, radius, shard))
+    roots = cut_lineage(fps.join(found, fps["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    return rows, roots
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     small_batches(docs.sparkSession)
-    rows = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(text_or_empty(text), shingle).alias("fp")))
-    fps = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    found = components(links(fps.select("fp"), radius, chunk))
-    member = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = cut_lineage(member)
-    # only roots with more than themselves need a name of their own
-    names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rows, roots = _placed(docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")), shingle, radius, shard, "text")
+    # the ids of a fingerprint are reduced before they meet those of its component
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = cut_lineage(least.join(roots, "fp"))
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = named.join(names, "root").select("fp", "component_id")
     return rows.join(ids, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id."""
-    found = near_duplicates(docs, **options)
-    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def one_per_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD,
+                  doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id (nulls last), then the first row of the table.
+
+    Rows are told apart by their place in a written copy of the table, so
+    repeated and null ids lose nothing.
+    """
+    small_batches(docs.sparkSession)
+    held = cut_lineage(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at")))
+    told = held.select(F.col(f"row.`{doc_id}`").alias("doc_id"), text_or_empty(f"row.`{text}`").alias("text"), "at")
+    rows, roots = _placed(told, shingle, radius, shard, "text")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("at").alias("at"))
+    best = rows.select("fp", order.alias("mine")).groupBy("fp").agg(F.min("mine").alias("mine")).join(roots, "fp").groupBy("root").agg(F.min("mine").alias("best"))
+    # rows that go: a narrow written list, broadcast where its size allows; the texts stay where they are
+    stay = roots.join(best, "root").select("fp", F.col("best.at").alias("stays"))
+    gone = cut_lineage(rows.join(stay, "fp").where("at <> stays").select("at"))
+    return held.join(gone, "at", "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -112,21 +112,59 @@ def test_simhash(docs, empty, spark):
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     want = sorted(((d, f"{fp[k]:016x}", first.get(find(k))) for k, (d, _) in enumerate(data)), key=key)
     for chunk in (4096, 3):
-        got = sorted((tuple(r) for r in simhash.near_duplicates(rows, chunk=chunk).collect()), key=key)
+        got = sorted((tuple(r) for r in simhash.near_duplicates(rows, shard=chunk).collect()), key=key)
         assert got == want
     assert simhash.near_duplicates(empty).count() == 0
-    kept = {r.doc_id for r in simhash.one_per_group(rows).collect()}
-    assert kept == {d for d, _, c in want if d == c or c is None}
+    kept = simhash.one_per_group(rows).collect()
+    assert len(kept) == len({find(k) for k in range(len(data))}) and kept[0].asDict().keys() == set(rows.columns)
+    assert {r.doc_id for r in kept} == {d for d, _, c in want if d == c or c is None}
+
+
+def plain_tree(items):
+    """Edges of the tree that inserting one item after the other gives: (parent, distance) -> child."""
+    edges = {}
+    for k in range(1, len(items)):
+        at = 0
+        while (nxt := edges.get((at, (int(items[at]) ^ int(items[k])).bit_count()))) is not None:
+            at = nxt
+        edges[at, (int(items[at]) ^ int(items[k])).bit_count()] = k
+    return edges
 
 
 def test_bk_tree_finds_all():
     r = random.Random(2)
-    items = [r.getrandbits(12) for _ in range(300)]
-    tree = simhash.BKTree()
-    for x in items:
-        tree.add(x)
-    for q in items[:50]:
-        assert set(tree.within(q, 2)) == {x for x in items if (x ^ q).bit_count() <= 2}
+    for bits, n in ((12, 300), (64, 700), (64, 1), (64, 0)):
+        items = np.array(list({r.getrandbits(bits) for _ in range(n)}), np.uint64)
+        tree = simhash.BKTree(items)
+        assert dict(zip([divmod(e, 65) for e in tree.edges.tolist()], tree.ends.tolist())) == plain_tree(items)
+        queries = np.array([int(x) ^ (1 << r.randrange(bits)) for x in items] + [r.getrandbits(64)], np.uint64)
+        got = {(int(q), int(t)) for qs, ts in tree.within(queries, 2) for q, t in zip(qs, ts)}
+        assert got == {(q, t) for q, x in enumerate(queries) for t, y in enumerate(items) if (int(x) ^ int(y)).bit_count() <= 2}
+
+
+def test_bk_tree_visits_few():
+    """Fingerprints of texts, thousands in one shard: the search leaves out most of the tree."""
+    r = random.Random(9)
+    w = [str(k) for k in range(400)]
+    items = np.array(list({simhash.simhash(" ".join(r.choices(w[: r.randint(5, 400)], k=r.randint(3, 60)))) for _ in range(4_000)}), np.int64)
+    pairs, visited = simhash.shard_links(items, None, 2)
+    assert visited < 0.5 * len(items) ** 2
+
+
+def test_shards_share_a_key():
+    """Two fingerprints within the radius meet in a shard of every step, however deep it goes."""
+    r = random.Random(3)
+    for n in (10, 10**5, 10**12):
+        masks = simhash.steps(n, 2, 4096)
+        for _ in range(300):
+            a = r.getrandbits(64)
+            b = a ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64))
+            mine = [0]
+            for k, now in enumerate(masks):
+                split = len(now) // (len(masks[k - 1]) if k else 1)
+                mine = [p * split + j for p in mine for j in range(split)]
+                mine = [p for p in mine if not (a ^ b) & now[p] & (2**64 - 1)]
+                assert mine
 
 
 @pytest.mark.parametrize("weak", [False, True])
@@ -149,13 +187,54 @@ def test_exact_dedup(docs, empty, weak):
         assert exact_dedup.verdicts(empty).count() == 0
 
 
-def test_exact_state_outlives_a_run(spark):
-    first = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
-    later = spark.createDataFrame([(3, "a  b"), (4, "d")], "doc_id long, text string")
-    state = exact_dedup.Deduplicator(spark)
-    state.append(first, 0)
-    exact_dedup.Deduplicator(spark, state.folder).append(later, 1)
-    assert sorted((r.best.doc_id, r.n) for r in state.groups().collect()) == [(2, 1), (3, 2), (4, 1)]
+def test_one_per_group_keeps_what_is_alone(spark):
+    rows = spark.createDataFrame([(1, "a b c d", 0), (5, "a b c d", 0), (5, "totally other words than these", 0), (None, "a b c d", 0),
+                                  (None, "unique text of nobody else here", 0)], "doc_id long, text string, _gone int")
+    got = sorted((r.doc_id or -1, r.text) for r in simhash.one_per_group(rows).collect())
+    assert got == [(-1, "unique text of nobody else here"), (1, "a b c d"), (5, "totally other words than these")]
+
+
+def test_keep_first_keeps_the_longest(spark):
+    rows = spark.createDataFrame([(4, "x y", 1), (4, "x   y     ", 2), (None, "x  y", 3), (None, "q", 4), (None, "q", 5), (6, None, 6), (7, " ", 7)],
+                                 "doc_id long, text string, _key int")
+    got = sorted((r.doc_id or -1, r.text, r._key) for r in exact_dedup.keep_first(rows).collect())
+    assert [g[:2] for g in got] == [(-1, "q"), (4, "x   y     "), (7, " ")] and got[1][2] == 2
+    named = rows.withColumnRenamed("doc_id", "n").withColumn("n", F.concat(F.lit("k"), "n"))
+    assert exact_dedup.keep_first(named, doc_id="n").count() == 3 and exact_dedup.keep_first(rows.where("false")).columns == rows.columns
+
+
+def batch_frames(spark, batches):
+    return [spark.createDataFrame(b, "doc_id long, text string") for b in batches]
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_batches(spark, weak):
+    """Replay, restart, longer and shorter later copies and a collision across batches, against all rows at once."""
+    digest = (lambda c: F.substring(F.sha2(c.cast("binary"), 256), 1, 1)) if weak else exact_dedup.sha256
+    r = random.Random(weak)
+    batches = [[(r.randint(0, 60), r.choice(["a b", "ab", " a  b ", "c", None, "", "d e f", "de f", "x" * 5_000] + [str(k) for k in range(40)])) for _ in range(25)] for _ in range(3)]
+    folder = None
+    for k, docs in enumerate(batch_frames(spark, batches)):
+        state = exact_dedup.Deduplicator(spark, folder, digest)
+        folder = state.folder
+        state.append(docs, k)
+        exact_dedup.Deduplicator(spark, folder, digest).append(docs, k)  # a replay
+        norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        told = [x for b in batches[: k + 1] for x in b]
+        want = []
+        for d, t in told:
+            group = [(-len(u or ""), e) for e, u in told if norm(u) == norm(t)]
+            want.append((d, min(group)[1], len(group), hashlib.sha256(norm(t).encode()).hexdigest()))
+        got = state.judged().collect()
+        assert sorted((x.doc_id, x.keep_id, x.group_size, x.text_sha256) for x in got) == sorted(want)
+        assert sum(x.kept for x in got) == len({w[3] for w in want})
+        last = exact_dedup.verdicts(docs, folder, digest, batch=k).collect()
+        assert sorted((x.doc_id, x.keep_id, x.group_size, x.text_sha256) for x in last) == sorted(want[-25:])
+        mine = next(iter(got))
+        content = state.rows().where(f"batch = {mine.batch} AND locator = {mine.locator}").first()
+        assert hashlib.sha256(norm(content.body).encode()).hexdigest() == mine.text_sha256
+    with pytest.raises(ValueError):
+        exact_dedup.verdicts(batch_frames(spark, [[(1, "other")]])[0], folder, digest, batch=0)
 
 
 def test_fingerprints(docs, empty):
@@ -172,6 +251,62 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+def plain_sketch(spark, texts):
+    """Sketches from all shingle hashes of each text, hashes by Spark, the rest in Python."""
+    shingles, out = set(), {}
+    for t in texts:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+        out[t] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        shingles |= out[t]
+    listed = sorted(shingles)
+    rows = spark.createDataFrame([(k, *s, *[None] * (5 - len(s))) for k, s in enumerate(listed)], "k int, a string, b string, c string, d string, e string")
+    h = {listed[r.k]: r.h for r in rows.select("k", F.xxhash64("a", "b", "c", "d", "e").alias("h")).collect()}
+    limit = fingerprints.bound()
+    return {t: sorted(x for s in ss if (x := h[s]) < limit) or sorted(h[s] for s in ss)[:1] for t, ss in out.items()}
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    limit = fingerprints.bound() - 1
+    top = min(a[0] if a[0] > limit else limit, b[0] if b[0] > limit else limit)
+    x, y = {h for h in a if h <= top}, {h for h in b if h <= top}
+    return len(x & y) / len(x | y)
+
+
+def test_fingerprints_against_plain_sketches(spark, docs):
+    far = spark.createDataFrame([(10**15, "far away from the others here", *["x"] * 5), (-(10**15), "far below all of the others", *["x"] * 5)], SCHEMA)
+    nulls = spark.createDataFrame([(None, f"null id number {k} of many in here", *["x"] * 5) for k in range(30)], SCHEMA)
+    hot = spark.createDataFrame([(77, f"one id {k} holds many rows of this table", *["x"] * 5) for k in range(60)], SCHEMA)
+    table = docs.unionByName(far).unionByName(nulls).unionByName(hot)
+    data = [(r.doc_id, r.text or "", r.h) for r in table.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()]
+    data.sort(key=lambda x: (x[0] is None, -(x[0] or 0), x[2], x[1]))
+    want, rows = [], []
+    for k, (d, t, _) in enumerate(data):
+        u, m = data[(k + 1) % len(data)][1], len(t) // 3
+        rows.append((d, t, t[: len(t) - m] + u[:m], u))
+    sketch = plain_sketch(spark, {x for r in rows for x in r[1:]})
+    shown = lambda s: "".join(f"{h & (2**64 - 1):016x}" for h in s)
+    for d, t, e, u in rows:
+        want.append((str(d), len(t), hashlib.sha256(e.encode()).hexdigest(), shown(sketch[t]), shown(sketch[e]),
+                     round(plain_likeness(sketch[t], sketch[e]), 9), round(plain_likeness(sketch[t], sketch[u]), 9)))
+    got = [(str(r[0]), *r[1:5], round(r[5], 9), round(r[6], 9)) for r in fingerprints.fingerprints(table).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_fingerprint_ranges_are_even(spark):
+    n = 2_000
+    table = spark.range(n).selectExpr("CASE WHEN id = 0 THEN 1000000000000000 WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 5 ELSE id END AS doc_id",
+                                      "concat('text ', id, repeat(' x', 20)) AS text")
+    bounds, first, count = fingerprints._ranges(table, 8)
+    mark = F.xxhash64("text")
+    k = F.get(F.lit(count), F.col("s"))
+    cells = table.withColumn("s", fingerprints._slice(bounds).cast("int")).groupBy(
+        F.get(F.lit(first), F.col("s")) + F.when(k > 1, F.least(F.floor((mark.cast("double") / F.lit(2.0**64) + 0.5) * k), k - 1)).otherwise(0)).count().collect()
+    assert sum(c[1] for c in cells) == n and max(c[1] for c in cells) <= 2.2 * n / 32
+    assert fingerprints.fingerprints(table.where("false")).count() == 0
+
+
 def test_likeness_estimates_jaccard(spark):
     r = random.Random(5)
     w = [str(r.random()) for _ in range(6000)]
