@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -411,10 +412,147 @@ def test_pii_adds_look_alikes_that_meet_no_base_span(spark):
     got = {x.doc_id - len(rows): x.spans for x in pii.report(docs, model).where(F.col("doc_id") >= len(rows)).collect()}
     assert [got[k] for k in range(3)] == ["email:4:32", "phone:5:19", "card:8:27"]
     assert [got[k] for k in range(3, 10)] == [""] * 7
+    # a table of three documents is judged like a large one
+    few = docs.where(F.col("doc_id").between(len(rows), len(rows) + 3))
+    assert [x.spans for x in pii.report(few, pii.fit(few)).orderBy("doc_id").collect()] == ["email:4:32", "phone:5:19", "card:8:27", ""]
     clean = pii.redacted(docs.where(F.col("doc_id") == len(rows)), model).first().text
     assert clean == "ask [EMAIL] now"
 
 
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def plain_base(text):
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    kinds = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+             ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+             ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+             ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15)]
+    return [(k, m.start(), m.end()) for k, p, ok in kinds for m in re.finditer(p, text) if ok(m.group())]
+
+
+def test_pii_base_against_plain_patterns(spark):
+    r = random.Random(12)
+    bits = ["a", "Z", "9", "41", "4111 1111 1111 1111", "4111-1111", "+1", "+49 ", "(", ")", ".", "..", "-", " ", "@", "@x", ".de", "%", "é", "🙂", "\n", "1.2.3.4", "255", "300", "_", "+"]
+    texts = ["".join(r.choices(bits, k=r.randint(1, 14))) for _ in range(3_000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = 0
+    for x in pii.report(rows, pii.Model()).collect():
+        want = plain_base(texts[x.doc_id])
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert x.spans == listed and x.base_sha256 == hashlib.sha256(listed.encode()).hexdigest(), texts[x.doc_id]
+        assert (x.n_email, x.n_ip, x.n_card, x.n_phone) == tuple(sum(w[0] == k for w in want) for k in pii.KINDS)
+        found += bool(want)
+    assert found > 500
+
+
+def test_pii_planted(spark):
+    """Masked items and look-alikes in prose without any base span: precision and recall of what is added."""
+    r = random.Random(21)
+    num = lambda n: "".join(r.choices("0123456789", k=n))
+    prose = lambda: " ".join(r.choices("the of and Thtion over blees there was und die les pour".split(), k=r.randint(3, 12)))
+    good = [lambda: f"{r.choice(['kim', 'ed.fox', 'ana_b'])} (at) {r.choice(['post', 'web7'])}.example.org", lambda: f"u{num(3)}[at]mail.net",
+            lambda: re.sub(r"(\d{4})(?=\d)", r"\1.", luhn_valid(num(15))), lambda: f"({r.randint(200, 999)}) 555-{num(4)}", lambda: f"0049 {num(2)} {num(7)}"]
+    bad = [lambda: re.sub(r"(\d{4})(?=\d)", r"\1.", (x := luhn_valid(num(15)))[:15] + str((int(x[15]) + 3) % 10)), lambda: f"19{num(2)}-11-2{r.randint(0, 9)} 1430", lambda: num(8),
+           lambda: f"7f{num(12)}ab9{num(9)}e", lambda: "noon (at) home", lambda: f"{r.randint(1, 9)} {num(3)} {num(3)}", lambda: (x := luhn_valid(num(15)))[:15] + str((int(x[15]) + 3) % 10)]
+    rows, places = [], {}
+    for k in range(600):
+        start, item = prose() + " ", (r.choice(good) if k % 2 else r.choice(bad))()
+        places[k] = (len(start), len(start) + len(item))
+        rows.append((k, start + item + " " + prose()))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    right = wrong = 0
+    for x in pii.report(table, pii.fit(table)).collect():
+        spans = [tuple(map(int, s.split(":")[1:])) for s in x.spans.split(",") if s]
+        hits = [s for s in spans if s[0] < places[x.doc_id][1] and places[x.doc_id][0] < s[1]]
+        right += bool(hits) and x.doc_id % 2
+        wrong += len(spans) - (len(hits) if x.doc_id % 2 else 0)
+    print("planted: recall", right / 300, "precision", right / max(1, right + wrong))
+    assert right >= 0.95 * 300 and wrong <= 0.02 * 300
+
+
+def test_pipeline_against_a_plain_chain(spark, tmp_path):
+    """run() on a small fixture equals the five stages in plain Python."""
+    import corpus_pipeline
+    from retentio.sources.tables import table
+
+    r = random.Random(31)
+    prose = lambda n: " ".join(r.choices("the of and there was over under house garden river they walked slowly through old town where people".split(), k=n)).capitalize() + "."
+    docs, labels = [], []
+    for k in range(240):
+        junk = k % 3 == 0
+        text = " ".join("".join(r.choices("#@!%&*<>|~^0123", k=r.randint(1, 9))) for _ in range(r.randint(20, 60))) if junk else " ".join(prose(r.randint(8, 15)) for _ in range(r.randint(2, 6)))
+        docs.append((k, text))
+        labels.append((k, 0 if junk else 1, 0))
+    base = docs[1][1]
+    docs += [(300, base), (301, base.replace(" ", "  ")), (302, docs[4][1] + " " + docs[7][1] * 3 + " mail jo@example.org or +49 30 1234567 now."),
+             (303, docs[4][1] + " " + docs[7][1] * 3 + " mail jo@example.org or +49 30 1234567 today."), (None, base), (304, None), (304, docs[8][1] + " Call 1.2.3.4 or (377) 555-0271 soon."), (5, docs[10][1])]
+    spark.createDataFrame([(d, t, "en", "web", len(t or "")) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    read = table(spark, str(tmp_path), "documents")
+    model = quality.fit(read, table(spark, str(tmp_path), "labels"))
+    # quality
+    score = lambda t: float(model.score(np.array([quality.statistics(t or "")], float))[0])
+    left = [(d, t) for d, t in docs if score(t) >= 0.3]
+    assert 0 < len(left) < len(docs) and {1, 300, 301, 302, 303} <= {d for d, _ in left}
+    # exact copies: most code points, then the smallest id
+    best = {}
+    for d, t in left:
+        key = re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        best[key] = min(best.get(key, ((0, True, 0), None, None)), ((-len(t or ""), d is None, d or 0), d, t)) if key in best else ((-len(t or ""), d is None, d or 0), d, t)
+    left = [(d, t) for _, d, t in best.values()]
+    # near copies: all pairs, smallest id of each component
+    fp = [simhash.simhash(t or "") & (2**64 - 1) for _, t in left]
+    group = list(range(len(left)))
+    for i in range(len(left)):
+        for j in range(i):
+            if (fp[i] ^ fp[j]).bit_count() <= 2 and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    left = [min((left[i] for i in range(len(left)) if group[i] == g), key=lambda x: (x[0] is None, x[0] or 0)) for g in set(group)]
+    near = {d for d, _ in left}
+    assert len(near & {302, 303}) == 1 and len(near & {1, 300, 301, None}) <= 2
+    # personal data: base spans by plain patterns, one look-alike added by the trees
+    redacted = []
+    for d, t in left:
+        spans = sorted((a, b, k) for k, a, b in plain_base(t or ""))
+        if t and (at := t.find("(377) 555-0271")) >= 0:
+            spans = sorted([*spans, (at, at + 14, "phone")])
+        out, at = "", 0
+        for a, b, k in spans:
+            if a >= at:
+                out += (t[at:a]) + f"[{k.upper()}]"
+            at = max(at, b)
+        redacted.append((d, out + t[at:] if t is not None else t))
+    assert sum("[PHONE]" in (t or "") for _, t in redacted) == 2
+    # packing
+    lib = tokenizers.Tokenizer.from_file(WORD)
+    want = []
+    for d, t in redacted:
+        ids, at = lib.encode(t or "", add_special_tokens=False).ids + [2], 0
+        for n in packing.cut(len(ids)):
+            want.append((str(d), at, n, zlib.crc32(np.array(ids[at:at + n], "<u4").tobytes()), len(ids)))
+            at += n
+    got = [(str(x.doc_id), x.start, x.length, x.ids_crc32, x.doc_tokens) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_written_outputs(spark, docs, tmp_path):
+    """Bucket and shard folders hold every piece and document; merged sketches equal the sketch of both texts."""
+    packed = packing.pack(docs, WORD, max_len=64, with_ids=True)
+    packing.write_buckets(packed, f"{tmp_path}/buckets")
+    back = spark.read.parquet(f"{tmp_path}/buckets").collect()
+    assert len(back) == packed.count() and all(len(x.ids) == x.length == 2**x.bucket for x in back)
+    sharding.write_shards(docs, f"{tmp_path}/shards", 2_000)
+    assert spark.read.parquet(f"{tmp_path}/shards").count() == docs.count()
+    w = [str(k) for k in range(900)]
+    rows = spark.createDataFrame([(" ".join(w[:500]), " ".join(w[496:]), " ".join(w))], "a string, b string, c string")
+    for n in "abc":
+        rows = fingerprints.with_sketch(rows, n, f"s{n}")
+    x = rows.select(fingerprints.merged(F.col("sa"), F.col("sb")).alias("m"), "sc").first()
+    assert x.m == x.sc
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
