@@ -10,28 +10,36 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 #: white space as the tokenizers' regular expressions define it (Unicode White_Space)
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: caches keep words up to this length, in two generations of at most so many entries
-MAX_CACHED_CHARS, MAX_CACHE, MAX_CHUNKS = 48, 450_000, 150_000
+#: caches keep words up to this length, in two generations of at most so many bytes
+MAX_CACHED_CHARS, MAX_BYTES = 48, 40 << 20
+#: what an entry takes beside its key and value
+_ENTRY = 110
+
+
+def _weight(value) -> int:
+    return sys.getsizeof(value) + (sum(map(sys.getsizeof, value)) if type(value) is tuple else 0)
 
 
 class Cache(dict):
     """A bounded memo: when it is full, it becomes the old generation, of which only words seen again return."""
 
-    def __init__(self, make=None, limit: int = MAX_CACHE):
+    def __init__(self, make=None, limit: int = MAX_BYTES):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.old, self.held = make, limit, {}, 0
 
     def keep(self, key: str, value):
         if len(key) <= MAX_CACHED_CHARS:
-            if len(self) >= self.limit:
-                self.old = dict(self)
+            if self.held >= self.limit:
+                self.old, self.held = dict(self), 0
                 self.clear()
             self[key] = value
+            self.held += _ENTRY + sys.getsizeof(key) + _weight(value)
         return value
 
     def find(self, key: str):

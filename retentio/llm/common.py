@@ -6,7 +6,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: rows and bytes of one Arrow batch: documents may be megabytes long
-BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 
 
 def text_or_empty(name: str = "text") -> Column:
