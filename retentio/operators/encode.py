@@ -3,7 +3,7 @@
 Fit state is small: the sorted category list of each categorical column
 (found with one distributed ``distinct`` over a stacked (column, value)
 projection) and mean / sample std of each numeric column (one fused
-aggregate). Both are checked for size before they reach the driver. Applying
+aggregate). Lists beyond a size stay on the cluster (``sparse``). Applying
 the state is pure column expressions, so scoring stays in whole-stage codegen.
 
 Rules kept from the reference: dummies are named ``<col>_<value>``, values
@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_CATEGORIES = 10000
+#: categories up to which the encoding is column expressions; ``sparse`` encodes any number
+WIDE = 1000
 
 
 def _is_numeric(dt: T.DataType) -> bool:
@@ -153,7 +154,8 @@ def fit_encoder(df: DataFrame, categorical: Sequence[str], numerical: Sequence[s
 
     Like the reference, non-listed non-numeric columns are auto-encoded (FE7)
     and other numeric columns pass through unscaled; ``exclude`` (ids, targets)
-    are left out.
+    are left out. More than ``WIDE`` categories give a ``sparse.SparseEncoder``,
+    whose categories stay a table; its vectors have the same order.
     """
     present = [c for c in df.columns if c not in exclude]
     cat = [c for c in categorical if c in present]
@@ -169,25 +171,30 @@ def fit_encoder(df: DataFrame, categorical: Sequence[str], numerical: Sequence[s
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if enc_cols:
-            # the bound is checked by the same job that fetches the table: at most MAX + 1 rows move
-            rows = category_table(df, enc_cols).select("column", "value").limit(MAX_CATEGORIES + 1).collect()
-            if len(rows) > MAX_CATEGORIES:
-                raise ValueError(f"more than {MAX_CATEGORIES} distinct categories: over the fit-state bound")
+            # the bound is checked by the same job that fetches the table: at most WIDE + 1 rows move
+            rows = category_table(df, enc_cols).select("column", "value").limit(WIDE + 1).collect()
+            if len(rows) > WIDE:
+                from .sparse import fit_sparse
+
+                return fit_sparse(df, categorical, numerical, exclude)
             for r in rows:
                 cats[r["column"]].append(r["value"])
             for c in cats:
                 cats[c].sort()
-        stats: dict[str, tuple[float, float]] = {}
-        fill: dict[str, float] = {}
-        if passthrough:
-            # one aggregate: mean of every numeric column (null fill), std of the scaled ones
-            for r in scale_stats(df, passthrough).collect():
-                fill[r["column"]] = r["mean"] if r["mean"] is not None else 0.0
-                if r["column"] in num:
-                    stats[r["column"]] = (r["mean"], r["std"] if r["std"] is not None else float("nan"))
+        state = fit_numeric(df, passthrough, num)
     finally:
         if persisted_here:
             df.unpersist()
-    features = list(passthrough) + [f"{c}_{v}" for c in enc_cols for v in cats[c]]
-    return EncoderState(cats, stats, passthrough, features, fill)
-
+    state.categories = cats
+    state.feature_columns += [f"{c}_{v}" for c in enc_cols for v in cats[c]]
+    return state
+
+
+def fit_numeric(df: DataFrame, passthrough: Sequence[str], scaled: Sequence[str]) -> EncoderState:
+    """Means of all numeric columns (null fill) and stds of the scaled ones, from one aggregate."""
+    state = EncoderState(passthrough=list(passthrough), feature_columns=list(passthrough))
+    for r in scale_stats(df, passthrough).collect() if passthrough else ():
+        state.fill[r["column"]] = r["mean"] if r["mean"] is not None else 0.0
+        if r["column"] in scaled:
+            state.stats[r["column"]] = (r["mean"], r["std"] if r["std"] is not None else float("nan"))
+    return state

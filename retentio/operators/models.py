@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import risk_tier
 from ..schemas import CATEGORICAL, CHURN_COL, ID_COL, LTV_TARGET, MOCK_PROBABILITY, NUMERICAL, TIER_ONLINE
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, path_exists
 from .clean import clean
 from .encode import EncoderState, fit_encoder
 from .features import create_features
+from .sparse import SparseEncoder
 
 # The reference's booster settings.
 CHURN_GBT = dict(maxIter=100, maxDepth=6, stepSize=0.1, subsamplingRate=0.8,
@@ -56,7 +57,7 @@ class FittedModel:
 
     task: str                      # "churn" or "ltv"
     kind: str                      # key of _CLASSIFIERS / _REGRESSORS
-    encoder: EncoderState
+    encoder: EncoderState | SparseEncoder
     model: object
     params: dict = field(default_factory=dict)
     median: float | None = None    # TotalCharges of the training rows; fills blanks when raw records are scored
@@ -71,7 +72,8 @@ class FittedModel:
             vals = m.featureImportances.toArray()
         else:
             vals = [abs(v) for v in m.coefficients.toArray()]
-        return list(zip(self.encoder.feature_columns, [float(v) for v in vals]))
+        names = list(self.encoder.feature_columns)
+        return list(zip(names + [str(k) for k in range(len(names), len(vals))], [float(v) for v in vals]))
 
     def save(self, spark, path: str) -> str:
         """SNK6: model + fit state under one folder (shared filesystem)."""
@@ -88,10 +90,14 @@ class FittedModel:
         meta = json.loads(spark.read.json(os.path.join(path, "meta")).first()["meta"])
         table = _CLASSIFIERS if meta["task"] == "churn" else _REGRESSORS
         model = table[meta["kind"]][1].load(os.path.join(path, "model"))
-        return FittedModel(meta["task"], meta["kind"], EncoderState.load(spark, os.path.join(path, "encoder")),
+        return FittedModel(meta["task"], meta["kind"], load_encoder(spark, os.path.join(path, "encoder")),
                            model, meta.get("params", {}), meta.get("median"))
 
 
+def load_encoder(spark, path: str) -> EncoderState | SparseEncoder:
+    return (SparseEncoder if path_exists(spark, os.path.join(path, "categories")) else EncoderState).load(spark, path)
+
+
 def _exec(kind: str) -> dict:
     return _TREE_EXEC if kind in ("gbt", "rf") else {}
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import encode as EN
+from ..operators import sparse as SPA
 from ..operators import histogram as H
 from ..operators import split as SP
 from ..operators.clean import clean
@@ -154,28 +155,6 @@ def scaled_features(spark, sf_dir):
     return out.select("customerID", *[C.r6(n) for n in NUMERICAL])
 
 
-@register("aligned_matrix", with_features("""
-WITH sp AS (SELECT f.*, CASE WHEN substr(md5('42:' || "customerID"), 1, 8) < '33333333'
-                             THEN 'test' ELSE 'train' END AS split FROM f),
-     lng AS (SELECT "customerID", split, col_name || '_' || val AS feature
-             FROM (SELECT "customerID", split, "Contract", "InternetService", "PaymentMethod", tenure_group FROM sp)
-             UNPIVOT (val FOR col_name IN ("Contract", "InternetService", "PaymentMethod", tenure_group))),
-     trained AS (SELECT DISTINCT feature FROM lng WHERE split = 'train')
-SELECT "customerID", feature FROM lng WHERE split = 'test' AND feature IN (SELECT feature FROM trained)"""))
-def aligned_matrix(spark, sf_dir):
-    """FE10 on four columns: scoring rows encoded with the training categories (unseen dropped).
-
-    The whole matrix, with its zeros, is ``aligned_matrix_wide``. Long form of the aligned one-hot block: a row per set training feature.
-    Fit on the train split, applied to the test split.
-    """
-    f = SP.assign_split(C.features(spark, sf_dir), "customerID")
-    cols = ["Contract", "InternetService", "PaymentMethod", "tenure_group"]
-    train, test = f.where(F.col("split") == "train"), f.where(F.col("split") == "test")
-    known = EN.category_table(train, cols).select("feature")
-    return EN.onehot_long(test, cols, "customerID").join(known, "feature", "left_semi") \
-        .select("customerID", "feature")
-
-
 _WIDE_CATS = [*CATEGORICAL, "tenure_group"]
 _WIDE_CATS_SQL = ", ".join(f'"{c}"' for c in _WIDE_CATS)
 _WIDE_NUMS_SQL = " UNION ALL ".join(
@@ -204,6 +183,50 @@ def aligned_matrix_wide(spark, sf_dir):
     return state.long(test, "customerID").select("customerID", "feature", C.r6("value"))
 
 
+_SPARSE_SQL = f"""
+WITH sp AS (SELECT f.* REPLACE (CAST("SeniorCitizen" AS VARCHAR) AS "SeniorCitizen"),
+                   CASE WHEN substr(md5('42:' || "customerID"), 1, 8) < '33333333' THEN 'test' ELSE 'train' END AS split FROM f),
+     lng AS (SELECT "customerID", split, col_name, val
+             FROM (SELECT "customerID", split, {_WIDE_CATS_SQL} FROM sp) UNPIVOT (val FOR col_name IN ({_WIDE_CATS_SQL}))),
+     trained AS (SELECT col_name, val, {len(NUMERICAL_WIDE)} - 1 + row_number() OVER (ORDER BY list_position([{', '.join(f"'{c}'" for c in _WIDE_CATS)}], col_name), val) AS index
+                 FROM (SELECT DISTINCT col_name, val FROM lng WHERE split = 'train')),
+     cells AS (SELECT "customerID", col_name || '_' || val AS feature, index, 1.0::DOUBLE AS value FROM lng JOIN trained USING (col_name, val) WHERE split = 'test'
+               UNION ALL SELECT n."customerID", n.feature, list_position([{', '.join(f"'{c}'" for c in NUMERICAL_WIDE)}], n.feature) - 1, n.value FROM ({_WIDE_NUMS_SQL}) n WHERE n.value <> 0)"""
+
+
+def _sparse(spark, sf_dir):
+    f = SP.assign_split(C.features(spark, sf_dir), "customerID").select("customerID", "split", *NUMERICAL_WIDE, *_WIDE_CATS)
+    f = f.withColumn("SeniorCitizen", F.col("SeniorCitizen").cast("string"))
+    train, test = f.where(F.col("split") == "train").drop("split"), f.where(F.col("split") == "test").drop("split")
+    return SPA.fit_sparse(train, _WIDE_CATS, NUMERICAL_WIDE, exclude=["customerID"]), test
+
+
+@register("aligned_matrix", with_features(_SPARSE_SQL + """
+SELECT "customerID", feature, index, value FROM cells"""))
+def aligned_matrix(spark, sf_dir):
+    """FE6, FE10: the non-zero cells of all test rows, aligned by a distributed dictionary of the training categories."""
+    state, test = _sparse(spark, sf_dir)
+    numbers = spark.createDataFrame([(i, c) for i, c in enumerate(state.numeric.feature_columns)], "index long, feature string")
+    names = state.dictionary(spark).select("index", F.concat_ws("_", "column", "value").alias("feature")).unionByName(numbers)
+    cells = state.cells(test, "customerID").withColumn("value", C.r6("value")).where("value <> 0")
+    return cells.join(names, "index").select("customerID", "feature", "index", "value")
+
+
+@register("sparse_vectors", with_features(_SPARSE_SQL + """
+SELECT "customerID", (SELECT COUNT(*) FROM trained) + 3 AS size, COUNT(*) AS filled, SUM(index)::BIGINT AS index_sum, ROUND(SUM(value), 4) AS value_sum
+FROM cells GROUP BY "customerID" """.replace("+ 3", f"+ {len(NUMERICAL_WIDE)}")))
+def sparse_vectors(spark, sf_dir):
+    """FE13: one MLlib sparse vector per test row, shown by its size, filled cells and sums."""
+    from pyspark.ml.functions import vector_to_array
+
+    state, test = _sparse(spark, sf_dir)
+    cells = F.transform(vector_to_array("features"), lambda v, i: F.struct(i.alias("index"), F.round(v, 6).alias("value")))
+    full = state.vector(test, ["customerID"]).withColumn("all", cells).withColumn("cells", F.filter("all", lambda c: c["value"] != 0))
+    return full.select("customerID", F.size("all").cast("long").alias("size"), F.size("cells").cast("long").alias("filled"),
+                       F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + c["index"]).alias("index_sum"),
+                       F.round(F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["value"]), 4).alias("value_sum"))
+
+
 # ---------------------------------------------------------------- histograms
 @register("hist_monthly", with_clean("""
 WITH e AS (SELECT MIN("MonthlyCharges") AS lo, MAX("MonthlyCharges") AS hi FROM c),

@@ -6,8 +6,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.bucketed import BucketedTable
 from ..operators.clean import to_db_columns
 from ..sources import fixture
+from ..streaming import late as LT
 from ..streaming import stream as ST
 from . import common as C
 from .catalog import register
@@ -36,14 +38,18 @@ def prediction_activity(spark, sf_dir):
 
 @register("stream_activity", _ACTIVITY_SQL)
 def stream_activity(spark, sf_dir):
-    """STR2: the same windows from a watermarked stream of log files."""
+    """STR2: windows of a stream with a short watermark, and a recompute of those that late rows hit.
+
+    The log arrives in slices of event time; one row in twenty comes two slices late.
+    """
     run = ST.run_folder(spark, "activity")
     log = C.log(spark, sf_dir)
-    ST.stage_files(log, f"{run}/source")
-    stream = ST.file_stream(spark, f"{run}/source", log.schema)
-    # the staged files hold the log in no order of time: the lateness allowed covers its whole span
-    ST.window_stream(ST.activity(stream, watermark="3650 days"), f"{run}/sink", f"{run}/checkpoint", "stream_activity")
-    return _activity_out(ST.latest_windows(spark, f"{run}/sink"))
+    LT.arrive(LT.delayed(log, "predicted_at", "id", slices=6, late_by=2, share=20), f"{run}/source", slices=6)
+    LT.split_late(spark, f"{run}/source", log.schema, f"{run}/rows", f"{run}/split", ts="predicted_at", window="1 day", delay="1 hour")
+    stream = ST.file_stream(spark, f"{run}/rows/batch=*/late=0", log.schema, files_per_trigger=64)
+    ST.window_stream(ST.activity(stream, watermark="1 hour"), f"{run}/sink", f"{run}/checkpoint", "stream_activity")
+    windows = ST.latest_windows(spark, f"{run}/sink")
+    return _activity_out(LT.corrected(windows, f"{run}/rows", log.schema, ST.activity, ts="predicted_at", window="1 day"))
 
 
 @register("stream_tier_kpis", with_log("""
@@ -71,13 +77,12 @@ def stream_upsert(spark, sf_dir):
     target = to_db_columns(c).withColumn("ingested_at", F.lit(fixture.LOAD_TIME).cast("timestamp_ntz"))
     feed = to_db_columns(fixture.upsert_feed(c)).withColumn(
         "ingested_at", F.lit(fixture.FEED_TIME).cast("timestamp_ntz"))
-    ST.write_version(spark, target, f"{run}/table", 0)
+    table = BucketedTable(spark, f"{run}/table")
+    table.create(target, "customer_id", buckets=64)
     ST.stage_files(feed, f"{run}/source")
     stream = ST.file_stream(spark, f"{run}/source", feed.schema)
-    ST.upsert_stream(spark, stream, f"{run}/table", "customer_id", f"{run}/checkpoint",
-                     keep_first=["ingested_at"])
-    out = ST.latest_version(spark, f"{run}/table")
-    return out.withColumn("monthly_charges", C.r6("monthly_charges")) \
+    ST.upsert_stream(spark, stream, table, f"{run}/checkpoint", keep_first=["ingested_at"])
+    return table.read().withColumn("monthly_charges", C.r6("monthly_charges")) \
         .withColumn("total_charges", C.r6("total_charges"))
 
 

@@ -79,3 +79,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = os.path.join(checkpoint_dir(spark), "tables", uuid.uuid4().hex)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system that Spark can reach."""
+    fs, at = _path(spark, path)
+    return fs.exists(at)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is missing."""
+    fs, at = _path(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    fs, at = _path(spark, path)
+    fs.delete(at, True)

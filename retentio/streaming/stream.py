@@ -6,13 +6,12 @@
   exactly-once output on plain files.
 * Activity (STR2) is a tumbling event-time window with a watermark, run in
   update mode: windows behind the watermark leave the state, and rows later
-  than it are dropped. Each batch writes the windows it changed; the last
+  than it are dropped; ``late`` keeps those rows. Each batch writes the windows it changed; the last
   state of a window counts. The same function runs on a batch DataFrame.
 * Live KPIs (STR3) are a small grouped state (one row a tier), written whole
   on every batch.
-* Continuous upsert (STR4) merges batch k into table version k and writes
-  version k + 1; ``_latest`` gets one appended row a version, the largest of
-  which names the current one.
+* Continuous upsert (STR4) merges each batch into a hash-bucketed table
+  (``operators.bucketed``), of which only the touched buckets are rewritten.
 
 All folders live under the session's shared checkpoint directory.
 """
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import risk_tier
-from ..operators.quality import upsert
+from ..operators.bucketed import BucketedTable
 from ..session import checkpoint_dir
 
 
@@ -139,18 +138,11 @@ def latest_version(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.parquet(_version_path(table, v))
 
 
-def upsert_stream(spark: SparkSession, stream: DataFrame, table: str, key: str, checkpoint: str,
-                  keep_first=(), name: str = "upsert_stream") -> str:
-    """STR4: batch ``k`` merges into version ``k`` and writes version ``k + 1``.
-
-    The table must start at version 0 (``write_version(..., 0)``). A replayed
-    batch reads the same input version and rewrites the same output version,
-    so retries are idempotent.
-    """
+def upsert_stream(spark: SparkSession, stream: DataFrame, table: BucketedTable, checkpoint: str,
+                  keep_first=(), name: str = "upsert_stream") -> BucketedTable:
+    """STR4: each batch merges into the buckets it touches; a replayed batch finds its number applied."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        current = spark.read.parquet(_version_path(table, batch_id))
-        merged = upsert(current, batch, key, keep_first=keep_first)
-        write_version(spark, merged, table, batch_id + 1)
+        table.upsert(batch, keep_first=keep_first, feed=name, batch=batch_id)
 
     _run(stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint), name)
     return table
