@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from retentio.operators.bucketed import BucketedTable
 from retentio.operators.clean import to_db_columns
 from retentio.operators.quality import upsert
 from retentio.plans import common as C
@@ -44,15 +45,15 @@ def test_upsert_stream_equals_batch_and_replay_is_idempotent(spark, sf):
     batch = upsert(target, feed, "customer_id", keep_first=["ingested_at"])
 
     run = ST.run_folder(spark, "t-upsert")
-    ST.write_version(spark, target, f"{run}/table", 0)
+    table = BucketedTable(spark, f"{run}/table")
+    table.create(target, "customer_id", buckets=16)
     stream = _stream_of(spark, feed, run)
-    ST.upsert_stream(spark, stream, f"{run}/table", "customer_id", f"{run}/ckpt", keep_first=["ingested_at"])
-    first = ST.latest_version(spark, f"{run}/table")
+    ST.upsert_stream(spark, stream, table, f"{run}/ckpt", keep_first=["ingested_at"])
+    first = table.read()
     assert _rows(first) == _rows(batch)
     # a restart on the same checkpoint finds nothing new and leaves the table as it was
-    ST.upsert_stream(spark, ST.file_stream(spark, f"{run}/source", feed.schema), f"{run}/table",
-                     "customer_id", f"{run}/ckpt", keep_first=["ingested_at"])
-    assert _rows(ST.latest_version(spark, f"{run}/table")) == _rows(batch)
+    ST.upsert_stream(spark, ST.file_stream(spark, f"{run}/source", feed.schema), table, f"{run}/ckpt", keep_first=["ingested_at"])
+    assert _rows(table.read()) == _rows(batch)
 
 
 def test_score_stream_appends_each_row_once(spark, sf):
