@@ -9,6 +9,8 @@ point-to-point trapezoid with (0,0) and (1,1) endpoints.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,6 +115,43 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFr
     return agg.select(auc.alias("roc_auc"))
 
 
+def compare_models(stacked: DataFrame, by: Sequence[str], label: str = "label", score: str = "score",
+                   prediction: str | None = None) -> DataFrame:
+    """MDL9 / EVL4: n, confusion metrics and exact ROC-AUC of every group of a stacked score table, in one job.
+
+    ``stacked`` holds one row per (group, scored row); a group is a model, a fold, a tree count or all of these.
+    Rows collapse to counts per (group, score) before one range shuffle; the running sum runs over all groups at
+    once, and what came before a group is taken off in its aggregate, so a group may hold most of the rows. As in
+    ``roc_auc``: rows without a label do not count, no positives give 0.0 and no negatives 1.0. The label threshold
+    metrics need ``prediction``; a null prediction is in no cell of the matrix.
+    """
+    keys = list(by)
+    y = F.col(label) == 1
+    told = [("tp", y & (F.col(prediction) == 1)), ("fp", ~y & (F.col(prediction) == 1)),
+            ("fn", y & (F.col(prediction) == 0)), ("tn", ~y & (F.col(prediction) == 0))] if prediction else []
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    grouped = (stacked.where(F.col(label).isNotNull()).groupBy(*keys, F.col(score).alias("__s"))
+               .agg(count(y).cast("double").alias("__p"), count(~y).cast("double").alias("__q"),
+                    *[count(c).alias(f"__{name}") for name, c in told]))
+    cum = global_running_sum(grouped, [*[F.col(k) for k in keys], F.col("__s").desc()], ["__p"])
+    area = F.sum(F.col("__q") * (2 * F.col("cum___p") - F.col("__p")))
+    whole = cum.groupBy(*keys).agg(
+        F.sum("__p").alias("__P"), F.sum("__q").alias("__N"), area.alias("__a"),
+        F.min(F.col("cum___p") - F.col("__p")).alias("__before"),
+        *[F.sum(f"__{name}").alias(name) for name, _ in told])
+    pos, neg = F.col("__P"), F.col("__N")
+    auc = (F.when(pos == 0, F.lit(0.0)).when(neg == 0, F.lit(1.0))
+           .otherwise((F.col("__a") - 2 * F.col("__before") * neg) / (2 * pos * neg)))
+    n = (pos + neg).cast("long")
+    metrics = []
+    if prediction:
+        tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+        precision, recall = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
+        metrics = [((tp + tn) / n).alias("accuracy"), precision.alias("precision"), recall.alias("recall"),
+                   _ratio(2 * precision * recall, precision + recall).alias("f1")]
+    return whole.select(*keys, n.alias("n"), *metrics, auc.alias("roc_auc"))
+
+
 _FIXED = "decimal(38,6)"
 
 

@@ -27,25 +27,43 @@ def _edges(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.min(value).cast("double").alias("__min"), F.max(value).cast("double").alias("__max"))
 
 
-def bin_index(value: F.Column, lo: F.Column, hi: F.Column, bins: int) -> F.Column:
+def auto_edges(data: DataFrame, value: str) -> DataFrame:
+    """One row: min, max and the larger bin count of the Freedman-Diaconis and Sturges rules.
+
+    The quartiles are exact. Without a spread between them Sturges alone counts, and the count is not capped: far
+    outliers give many empty bins, which a histogram leaves out.
+    """
+    x = data.select(F.col(value).cast("double").alias("__x"))
+    q = exact_quantiles(x, "__x", [0.25, 0.75], names=["__q1", "__q3"])
+    # both sides are one-row aggregates
+    row = x.agg(F.min("__x").alias("__min"), F.max("__x").alias("__max"), F.count("__x").alias("__n")).crossJoin(F.broadcast(q))
+    n, iqr = F.col("__n"), F.col("__q3") - F.col("__q1")
+    # ceil(log2 n) in whole numbers: the binary digits of n - 1
+    sturges = F.when(n > 1, F.length(F.bin(n - 1))).otherwise(0).cast("long") + 1
+    spread = (F.col("__max") - F.col("__min")) / (2 * iqr / F.pow(n.cast("double"), F.lit(1.0 / 3)))
+    bins = F.greatest(sturges, F.when(iqr > 0, F.ceil(spread)).otherwise(0).cast("long"))
+    return row.select("__min", "__max", bins.alias("__bins"))
+
+
+def bin_index(value: F.Column, lo: F.Column, hi: F.Column, bins: int | F.Column) -> F.Column:
     width = hi - lo
     raw = F.floor((value - lo) / width * bins)
     return F.when(width > 0, F.least(raw, F.lit(bins - 1))).otherwise(F.lit(0)).cast("long")
 
 
-def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
-    """Counts per equal-width bin over the shared [min, max] of ``value``.
+def histogram(df: DataFrame, value: str, bins: int | None, by: Sequence[str] = ()) -> DataFrame:
+    """Counts per equal-width bin over the shared [min, max] of ``value``; ``bins`` None counts them by ``auto_edges``.
 
     Output: ``by``..., bin, bin_lo, bin_hi, n. Empty bins are omitted.
     """
     # NaN has no bin, like null
     data = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    edges = _edges(data, value)
+    edges = auto_edges(data, value) if bins is None else _edges(data, value).withColumn("__bins", F.lit(bins))
     # one-row scalar table: provably tiny broadcast
     j = data.select(*by, F.col(value).cast("double").alias("__v")).crossJoin(F.broadcast(edges))
-    j = j.withColumn("bin", bin_index(F.col("__v"), F.col("__min"), F.col("__max"), bins))
-    counts = j.groupBy(*by, "bin", "__min", "__max").agg(F.count(F.lit(1)).alias("n"))
-    width = (F.col("__max") - F.col("__min")) / bins
+    j = j.withColumn("bin", bin_index(F.col("__v"), F.col("__min"), F.col("__max"), F.col("__bins")))
+    counts = j.groupBy(*by, "bin", "__min", "__max", "__bins").agg(F.count(F.lit(1)).alias("n"))
+    width = (F.col("__max") - F.col("__min")) / F.col("__bins")
     return counts.select(*by, "bin",
                          (F.col("__min") + F.col("bin") * width).alias("bin_lo"),
                          (F.col("__min") + (F.col("bin") + 1) * width).alias("bin_hi"),

@@ -12,6 +12,9 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import product
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import classification as MC
 from pyspark.ml import regression as MR
@@ -21,10 +24,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import risk_tier
 from ..schemas import CATEGORICAL, CHURN_COL, ID_COL, LTV_TARGET, MOCK_PROBABILITY, NUMERICAL, TIER_ONLINE
-from ..session import checkpoint_dir, path_exists
+from ..session import checkpoint_dir, cut_lineage, path_exists
 from .clean import clean
 from .encode import EncoderState, fit_encoder
 from .features import create_features
+from .forest import best_round, staged_auc, staged_margins, vote_share
 from .sparse import SparseEncoder
 
 # The reference's booster settings.
@@ -137,16 +141,21 @@ def train_ltv(train: DataFrame, kind: str = "gbt", categorical=CATEGORICAL, nume
 
 def score_churn(model: FittedModel | None, df: DataFrame, threshold: float = 0.5,
                 allow_mock: bool = False) -> DataFrame:
-    """SCO1/SCO2: probability (unrounded) and hard label; mock only when allowed."""
+    """SCO1/SCO2: probability (unrounded) and hard label; mock only when allowed.
+
+    A forest of stumps gives the share of its trees that vote for churn (MDL6); the other models give their probability.
+    """
     if model is None:
         if not allow_mock:
             raise RuntimeError("no churn model loaded")
         return df.withColumn("churn_probability", F.lit(MOCK_PROBABILITY)) \
             .withColumn("churn_prediction", F.lit(0))
     feats = model.features(df, keep=df.columns)
-    out = model.model.transform(feats)
-    p = vector_to_array(F.col("probability"))[1]
-    return (out.withColumn("churn_probability", p)
+    if model.kind == "rf" and model.params.get("maxDepth") == 1:
+        out = vote_share(model.model, feats)
+    else:
+        out = model.model.transform(feats).withColumn("churn_probability", vector_to_array(F.col("probability"))[1])
+    return (out
             .withColumn("churn_prediction", (F.col("churn_probability") >= threshold).cast("int"))
             .drop("features", "rawPrediction", "probability", "prediction"))
 
@@ -186,40 +195,55 @@ CV_GRID = {"maxDepth": [4, 6], "maxIter": [100, 200], "stepSize": [0.05, 0.1]}
 CV_FOLDS = 3
 
 
-def grid_search(train: DataFrame, grid: dict | None = None, folds: int = CV_FOLDS,
-                parallelism: int = 4, seed: int = 42, early_stop: bool = True, median: float | None = None):
-    """MDL8: k-fold grid search on ROC-AUC, then refit of the best setting on all training rows.
+def grid_search(train: DataFrame, grid: dict | None = None, folds: int = CV_FOLDS, parallelism: int = 4,
+                seed: int = 42, patience: int = 20, median: float | None = None, first_rounds: int = 40):
+    """MDL8: k-fold grid search on the ROC-AUC after every tree, stopped after ``patience`` rounds without a gain.
 
-    Fold membership is a seeded hash of the id (deterministic across runs and
-    layouts). With ``early_stop`` a hashed 20% of each training fold is the
-    validation set that stops boosting (MLlib ``validationIndicatorCol``).
-    Returns (best FittedModel, long table of (params, mean AUC)).
+    Fold membership is a seeded hash of the id (deterministic across runs and layouts). A boosted model's first k trees
+    are the model of k rounds, so settings that differ in ``maxIter`` alone share one fit per fold, and all prefixes of
+    all folds are judged in one job. Fits begin with ``first_rounds`` trees; a setting whose mean curve has not stopped
+    is fitted with twice as many, up to the largest ``maxIter``. The best setting (the first of equals) is refitted on
+    all training rows with as many trees as its best round.
+    Returns (best FittedModel, [{params, mean_auc, best_iteration}, ...] in grid order).
     """
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    grid = grid or CV_GRID
-    x = _feature_frame(train, "churn")
-    enc = fit_encoder(x, CATEGORICAL, NUMERICAL)
-    h = F.xxhash64(F.lit(seed), F.col(ID_COL))
-    data = (enc.vector(train, keep=[ID_COL, CHURN_COL]).withColumnRenamed(CHURN_COL, "label")
-            .withColumn("fold", F.pmod(h, F.lit(folds)).cast("int"))
-            .withColumn("is_val", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(ID_COL)), F.lit(5)) == 0))
+    grid = dict(grid or CV_GRID)
+    limits = grid.setdefault("maxIter", [CHURN_GBT["maxIter"]])
+    most = max(limits)
+    enc = fit_encoder(_feature_frame(train, "churn"), CATEGORICAL, NUMERICAL)
+    data = cut_lineage(enc.vector(train, keep=[ID_COL, CHURN_COL]).withColumnRenamed(CHURN_COL, "label").withColumn(
+        "fold", F.pmod(F.xxhash64(F.lit(seed), F.col(ID_COL)), F.lit(folds)).cast("int")))
+    names = [k for k in grid if k != "maxIter"]
+    cells = list(product(*(grid[k] for k in names)))
     base = {k: v for k, v in CHURN_GBT.items() if k not in grid}
-    checkpoint_dir(train.sparkSession)
-    gbt = MC.GBTClassifier(featuresCol="features", labelCol="label", **base, **_TREE_EXEC)
-    if early_stop:
-        gbt = gbt.setValidationIndicatorCol("is_val")
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(gbt.getParam(name), values)
-    maps = builder.build()
-    ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction",
-                                       metricName="areaUnderROC", numBins=0)
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=ev, foldCol="fold", numFolds=folds,
-                        parallelism=parallelism, seed=seed)
-    cv_model = cv.fit(data)
-    results = [({p.name: v for p, v in m.items()}, float(a)) for m, a in zip(maps, cv_model.avgMetrics)]
-    best = max(results, key=lambda r: r[1])[0]
-    # not cv_model.bestModel: it leaves the rows of the validation fifth out
-    return train_churn(train, "gbt", median=median, **best), results
+    curves: dict[tuple, list[float]] = {}
+    rounds = min(first_rounds, most)
+    while len(curves) < len(cells):
+        todo = [c for c in cells if c not in curves]
+
+        def held_out(job):
+            cell, fold = job
+            gbt = MC.GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, **base,
+                                   **dict(zip(names, cell)), **_TREE_EXEC)
+            rows = data.where(F.col("fold") == fold)
+            scored = staged_margins(gbt.fit(data.where(F.col("fold") != fold)), rows)
+            return scored.select(F.lit(cells.index(cell)).alias("cell"), "fold", "label", "margins")
+
+        with ThreadPool(parallelism) as pool:
+            parts = pool.map(held_out, [(c, f) for c in todo for f in range(folds)])
+        scored = cut_lineage(reduce(DataFrame.unionByName, parts))
+        mean = staged_auc(scored, ["cell", "fold"]).groupBy("cell", "iteration").agg(F.avg("roc_auc").alias("auc"))
+        told = mean.orderBy("cell", "iteration").collect()  # settings x rounds rows
+        for c in todo:
+            curve = [r["auc"] for r in told if r["cell"] == cells.index(c)]
+            if rounds >= most or best_round(curve, patience)[1]:
+                curves[c] = curve
+        rounds = min(2 * rounds, most)
+    results = []
+    for values in product(*grid.values()):
+        params = dict(zip(grid, values))
+        curve = curves[tuple(params[k] for k in names)][:params["maxIter"]]
+        best, _ = best_round(curve, patience)
+        results.append({"params": params, "mean_auc": curve[best - 1], "best_iteration": best})
+    top = max(results, key=lambda r: r["mean_auc"])
+    model = train_churn(train, "gbt", median=median, **{**top["params"], "maxIter": top["best_iteration"]})
+    return model, results

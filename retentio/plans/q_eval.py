@@ -111,6 +111,42 @@ def roc_auc(spark, sf_dir):
     return EV.roc_auc(_scored(spark, sf_dir), "label", "churn_probability").select(C.r6("roc_auc"))
 
 
+@register("score_sets_compared", with_scores(f"""
+WITH m AS (
+  SELECT 'score' AS model, label, churn_probability AS score FROM sc
+  UNION ALL SELECT 'inverted', label, 1 - churn_probability FROM sc
+  UNION ALL SELECT 'coarse', label, FLOOR(churn_probability * 10) / 10 FROM sc
+  UNION ALL SELECT 'constant', label, 0.5 FROM sc
+  UNION ALL SELECT 'churners_only', label, churn_probability FROM sc WHERE label = 1
+  UNION ALL SELECT 'stayers_only', label, churn_probability FROM sc WHERE label = 0),
+g AS (SELECT model, score, SUM(label) AS p, SUM(1 - label) AS q FROM m GROUP BY 1, 2),
+cum AS (SELECT *, SUM(p) OVER (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp FROM g),
+auc AS (SELECT model, CASE WHEN SUM(p) = 0 THEN 0.0 WHEN SUM(q) = 0 THEN 1.0
+                           ELSE SUM(q * (2 * tp - p)) / (2.0 * SUM(p) * SUM(q)) END AS roc_auc FROM cum GROUP BY 1),
+c AS (SELECT model, COUNT(*) AS n, SUM(CASE WHEN label = 1 AND score >= 0.5 THEN 1.0 ELSE 0.0 END) AS tp,
+             SUM(CASE WHEN label = 0 AND score >= 0.5 THEN 1.0 ELSE 0.0 END) AS fp,
+             SUM(CASE WHEN label = 1 AND score < 0.5 THEN 1.0 ELSE 0.0 END) AS fn,
+             SUM(CASE WHEN label = 0 AND score < 0.5 THEN 1.0 ELSE 0.0 END) AS tn FROM m GROUP BY 1),
+r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+             CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM c)
+SELECT r.model, n, ROUND((tp + tn) / n, 6) AS accuracy, ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall,
+       ROUND(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 6) AS f1,
+       ROUND(roc_auc, 6) AS roc_auc
+FROM r JOIN auc ON auc.model = r.model"""))
+def score_sets_compared(spark, sf_dir):
+    """MDL9 / EVL4: six score sets of one table, two of them with one class only, compared in one job."""
+    p = F.col("churn_probability")
+    sets = {"score": (p, None), "inverted": (1 - p, None), "coarse": (F.floor(p * 10) / 10, None),
+            "constant": (F.lit(0.5), None), "churners_only": (p, 1), "stayers_only": (p, 0)}
+    one = [F.struct(F.lit(name).alias("model"), score.cast("double").alias("score"), F.lit(only).cast("int").alias("only"))
+           for name, (score, only) in sets.items()]
+    stacked = (C.scores(spark, sf_dir).select("label", F.explode(F.array(*one)).alias("m")).select("label", "m.*")
+               .where(F.col("only").isNull() | (F.col("only") == F.col("label")))
+               .withColumn("prediction", EV.hard_label("score")))
+    m = EV.compare_models(stacked, ["model"], prediction="prediction")
+    return m.select("model", "n", *[C.r6(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")])
+
+
 _REG_SQL = """
 r AS (SELECT c."TotalCharges" AS actual, sc.ltv_prediction AS predicted
       FROM c JOIN sc ON sc."customerID" = c."customerID")"""

@@ -277,6 +277,30 @@ def hist_tenure(spark, sf_dir):
     return h.select("bin", C.r6("bin_lo"), C.r6("bin_hi"), "n")
 
 
+def _register_auto_histogram(column: str):
+    sql = with_clean(f"""
+WITH st AS (SELECT MIN(x) AS lo, MAX(x) AS hi, COUNT(x) AS n, QUANTILE_CONT(x, 0.25) AS q1, QUANTILE_CONT(x, 0.75) AS q3
+            FROM (SELECT CAST("{column}" AS DOUBLE) AS x FROM c)),
+e AS (SELECT lo, hi, GREATEST(CAST(CEIL(LOG2(n)) AS BIGINT) + 1, CASE WHEN q3 > q1
+        THEN CAST(CEIL((hi - lo) / (2 * (q3 - q1) / POWER(CAST(n AS DOUBLE), 1.0 / 3))) AS BIGINT) ELSE 0 END) AS bins FROM st),
+b AS (SELECT CASE WHEN hi > lo THEN LEAST(CAST(FLOOR((CAST("{column}" AS DOUBLE) - lo) / (hi - lo) * bins) AS BIGINT), bins - 1)
+                  ELSE 0 END AS bin, lo, hi, bins FROM c, e WHERE "{column}" IS NOT NULL)
+SELECT bin, ROUND(lo + bin * ((hi - lo) / bins), 6) AS bin_lo, ROUND(lo + (bin + 1) * ((hi - lo) / bins), 6) AS bin_hi,
+       COUNT(*) AS n FROM b GROUP BY bin, lo, hi, bins""")
+
+    def query(spark, sf_dir):
+        source = C.customers if column == "TotalCharges" else C.labelled
+        h = H.histogram(source(spark, sf_dir), column, None)
+        return h.select("bin", C.r6("bin_lo"), C.r6("bin_hi"), "n")
+
+    query.__doc__ = f"""HST1: {column} in as many equal-width bins as its quartiles, range and count ask for."""
+    register(f"hist_auto_{column.lower()}", sql)(query)
+
+
+for _column in ("tenure", "MonthlyCharges", "TotalCharges"):
+    _register_auto_histogram(_column)
+
+
 @register("hist_residual", with_clean("""
 WITH r AS (SELECT sc.ltv_prediction - c."TotalCharges" AS residual
            FROM c JOIN (SELECT "customerID", "MonthlyCharges" * (tenure + 1) AS ltv_prediction FROM s) sc

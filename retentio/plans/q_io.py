@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as EV
 from ..operators import split as SP
 from ..operators.clean import clean
+from ..operators.profile import profiled_write
 from ..operators.quantile import exact_median
 from ..schemas import RAW_SUBSCRIBER
 from ..sources import files as FS
+from ..sources.prediction_log import PredictionLog
 from ..streaming.stream import run_folder
 from . import common as C
 from .catalog import register
@@ -100,21 +102,36 @@ def first_rows(spark, sf_dir):
 SELECT "customerID" AS customer_id, CAST(CAST(churn_probability AS DECIMAL(6,4)) AS DOUBLE) AS churn_probability,
        CASE WHEN churn_probability >= 0.5 THEN 1 ELSE 0 END AS churn_prediction,
        CASE WHEN churn_probability >= 0.65 THEN 'HIGH' WHEN churn_probability >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS churn_risk_tier,
-       CAST(CAST(CAST(ltv_prediction AS DECIMAL(20,6)) AS DECIMAL(10,2)) AS DOUBLE) AS ltv_prediction, model_version
+       CAST(CAST(CAST(ltv_prediction AS DECIMAL(20,6)) AS DECIMAL(10,2)) AS DOUBLE) AS ltv_prediction, model_version,
+       ROW_NUMBER() OVER (ORDER BY model_version, "customerID") AS id
 FROM sc, (VALUES ('2.0.0'), ('2.0.1')) AS v(model_version)"""))
 def prediction_log_append(spark, sf_dir):
-    """SNK2: score rows appended twice to a tier-partitioned log; both appends are kept."""
+    """SNK2: two batches and a replay of the second; ids without gap or repeat, in customer order within a batch."""
     from ..operators.segment import add_tier
     path = run_folder(spark, "log")
     sc = add_tier(C.scores(spark, sf_dir)).withColumn(
         "churn_prediction", EV.hard_label("churn_probability")).withColumn(
         "ltv_prediction", C.r6("ltv_prediction"))  # 6 decimals first, so that half cents round alike in both engines
-    FS.append_predictions(sc, path, "2.0.0")
-    FS.append_predictions(sc, path, "2.0.1")
-    return spark.read.parquet(path).drop("predicted_at", "id").withColumns(
+    log = PredictionLog(spark, path)
+    for batch, version in ((0, "2.0.0"), (1, "2.0.1"), (1, "2.0.1")):
+        log.append(sc, version, feed="scores", batch=batch, order=[F.col("customer_id")])
+    return log.read().drop("predicted_at").withColumns(
         {c: F.col(c).cast("double") for c in ("churn_probability", "ltv_prediction")})
 
 
+_PROFILE_SQL = with_subscribers("WITH p AS (" + "\nUNION ALL ".join(
+    f"""SELECT '{f.name}' AS "column", '{f.dataType.simpleString()}' AS type, COUNT(*) - COUNT("{f.name}") AS missing,
+       COUNT("{f.name}") AS non_null, COUNT(*) AS n_rows FROM s""" for f in RAW_SUBSCRIBER.fields) + """)
+SELECT *, (SELECT COUNT(*) FROM p) AS n_columns, CAST((SELECT SUM(missing) FROM p) AS BIGINT) AS total_missing FROM p""")
+
+
+@register("profile_on_write", _PROFILE_SQL)
+def profile_on_write(spark, sf_dir):
+    """PRF1/PRF3/PRF6: shape, types and missing values counted while the raw table is written, churn text checked."""
+    raw = C.raw(spark, sf_dir)
+    return profiled_write(raw, run_folder(spark, "profiled"), {"Churn": ["Yes", "No"], "SeniorCitizen": [0, 1]}).frame(spark)
+
+
 _REPORT_SQL = with_clean("""
 WITH sc AS (SELECT c."customerID", c."Churn" AS label,
                    0.3 * c."Churn" + 0.7 * (CAST((CAST(c."customerID" AS BIGINT) * 7919 + 104729) % 1009 AS DOUBLE) / 1009) AS p

@@ -8,6 +8,9 @@ one fit instead of training again.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as EV
@@ -16,6 +19,7 @@ from ..operators import models as M
 from ..operators import split as SP
 from ..operators.clean import clean, training_median
 from ..operators.features import create_features
+from ..session import cut_lineage
 from . import common as C
 from .catalog import register
 
@@ -50,6 +54,13 @@ def _test_scores(spark, sf_dir, kind: str, **overrides):
                     F.col("churn_prediction").alias("prediction"), F.col("churn_probability").alias("__p"))
 
 
+def _top_risk(spark, sf_dir, kind: str):
+    """The feature row of the test customer with the highest score, written once: only it is explained."""
+    _, test, _ = _splits(spark, sf_dir)
+    top = _test_scores(spark, sf_dir, kind).orderBy(F.desc("__p"), "customerID").limit(1)
+    return cut_lineage(test.join(F.broadcast(top.select("customerID")), "customerID", "left_semi"))  # one row
+
+
 @register("churn_lr")
 def churn_lr(spark, sf_dir):
     """MDL5: logistic regression (MLlib optimiser, no regularisation)."""
@@ -94,14 +105,11 @@ def ltv_metrics(spark, sf_dir):
 
 @register("model_comparison")
 def model_comparison(spark, sf_dir):
-    """MDL9: accuracy and ROC-AUC per model on the same test rows."""
-    out = None
-    for name, kind in (("LogisticRegression", "lr"), ("RandomForestStumps", "rf"), ("GBT", "gbt")):
-        s = _test_scores(spark, sf_dir, kind)
-        row = (EV.accuracy(s).crossJoin(EV.roc_auc(s, "label", "__p"))
-               .select(F.lit(name).alias("model"), C.r6("accuracy"), C.r6("roc_auc")))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """MDL9: label metrics and ROC-AUC of all models on the same test rows, in one job over the stacked scores."""
+    models = (("LogisticRegression", "lr"), ("RandomForestStumps", "rf"), ("GBT", "gbt"))
+    stacked = [_test_scores(spark, sf_dir, kind).withColumn("model", F.lit(name)) for name, kind in models]
+    m = EV.compare_models(reduce(DataFrame.unionByName, stacked), ["model"], "label", "__p", "prediction")
+    return m.select("model", "n", *[C.r6(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")])
 
 
 @register("feature_importance")
@@ -139,21 +147,22 @@ def mean_abs_attribution(spark, sf_dir):
 @register("attribution_waterfall")
 def attribution_waterfall(spark, sf_dir):
     """EXP3: base value, 12 largest contributions and the rest for the top-risk customer."""
-    s = _test_scores(spark, sf_dir, "lr")
-    top = s.orderBy(F.desc("__p"), "customerID").limit(1)
-    return EX.waterfall(linear_attributions(spark, sf_dir), top)
+    train, _, _ = _splits(spark, sf_dir)
+    top = _top_risk(spark, sf_dir, "lr")
+    return EX.waterfall(cut_lineage(EX.linear_attributions(_model(spark, sf_dir, "churn", "lr"), train, top)), top)
 
 
 @register("churn_cv")
 def churn_cv(spark, sf_dir):
-    """MDL8: 3-fold grid search (depth x trees x rate) with early stopping; one row per setting."""
+    """MDL8: 3-fold grid search (depth x trees x rate) with early stopping after 20 rounds; one row per setting."""
     train, _, median = _splits(spark, sf_dir)
     best, results = M.grid_search(train, median=median)
     key = (id(spark), sf_dir, "churn", "cv")
     _CACHE[key] = best
-    rows = [(r["maxDepth"], r["maxIter"], float(r["stepSize"]), auc,
-             all(best.params.get(k) == v for k, v in r.items())) for r, auc in results]
-    return spark.createDataFrame(rows, "max_depth int, max_iter int, step_size double, "
+    top = max(results, key=lambda r: r["mean_auc"])
+    rows = [(r["params"]["maxDepth"], r["params"]["maxIter"], float(r["params"]["stepSize"]), r["best_iteration"],
+             r["mean_auc"], r is top) for r in results]
+    return spark.createDataFrame(rows, "max_depth int, max_iter int, step_size double, best_iteration int, "
                                        "mean_auc double, is_best boolean")
 
 
@@ -174,6 +183,6 @@ def mean_abs_tree_attribution(spark, sf_dir):
 @register("tree_attribution_waterfall")
 def tree_attribution_waterfall(spark, sf_dir):
     """EXP3 (trees): base value, 12 largest contributions and the rest for the booster's top-risk customer."""
-    s = _test_scores(spark, sf_dir, "gbt")
-    top = s.orderBy(F.desc("__p"), "customerID").limit(1)
-    return EX.waterfall(tree_attributions(spark, sf_dir), top)
+    from ..operators.tree_explain import tree_attributions as TA
+    top = _top_risk(spark, sf_dir, "gbt")
+    return EX.waterfall(cut_lineage(TA(_model(spark, sf_dir, "churn", "gbt"), top)), top)

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from ..operators.bucketed import BucketedTable
 from ..operators.clean import to_db_columns
+from ..operators.segment import add_tier
 from ..sources import fixture
+from ..sources.prediction_log import PredictionLog
 from ..streaming import late as LT
 from ..streaming import stream as ST
 from . import common as C
 from .catalog import register
-from .oracle_sql import with_log
+from .oracle_sql import with_log, with_scores
 from .q_quality import _UPSERT_SQL, _upsert_body
 from .oracle_sql import with_clean
 
@@ -97,5 +99,22 @@ def stream_scores(spark, sf_dir):
     raw = C.raw(spark, sf_dir)
     ST.stage_files(raw, f"{run}/source")
     stream = ST.file_stream(spark, f"{run}/source", raw.schema)
-    ST.score_stream(stream, lambda b: M.score_raw(churn, ltv, b), f"{run}/sink", f"{run}/checkpoint")
-    return spark.read.parquet(f"{run}/sink").drop("predicted_at")
+    log = ST.score_stream(stream, lambda b: M.score_raw(churn, ltv, b), PredictionLog(spark, f"{run}/log"), f"{run}/checkpoint")
+    return log.read().drop("predicted_at")
+
+
+@register("stream_log_ids", with_scores("""
+SELECT COUNT(*) AS n, COUNT(DISTINCT "customerID") AS customers, COUNT(*) AS ids, CAST(1 AS BIGINT) AS first_id, COUNT(*) AS last_id,
+       ROUND(CAST(SUM(CAST(churn_probability AS DECIMAL(6,4))) AS DOUBLE), 4) AS probability_sum FROM sc"""))
+def stream_log_ids(spark, sf_dir):
+    """STR1 / SNK2: scores arriving in several micro-batches, then a replayed one; ids run from 1 without gap or repeat."""
+    run = ST.run_folder(spark, "log-ids")
+    scores = add_tier(C.scores(spark, sf_dir))
+    ST.stage_files(scores, f"{run}/source", files=6)
+    stream = ST.file_stream(spark, f"{run}/source", scores.schema, files_per_trigger=2)
+    log = ST.score_stream(stream, lambda b: b, PredictionLog(spark, f"{run}/log"), f"{run}/checkpoint", name="log_ids")
+    log.append(scores, "2.0.0", feed="log_ids", batch=1)
+    return log.read().agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("customer_id").alias("customers"), F.countDistinct("id").alias("ids"),
+        F.min("id").alias("first_id"), F.max("id").alias("last_id"),
+        F.round(F.sum("churn_probability").cast("double"), 4).alias("probability_sum"))

@@ -101,3 +101,11 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
 def delete_folder(spark: SparkSession, path: str) -> None:
     fs, at = _path(spark, path)
     fs.delete(at, True)
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Give a folder another name, in place of what had it."""
+    fs, at = _path(spark, target)
+    fs.delete(at, True)
+    if not fs.rename(_path(spark, source)[1], at):
+        raise OSError(f"{source} could not be renamed to {target}")

@@ -1,4 +1,4 @@
-"""File and record sources, and the table sinks (SRC1-6, SNK2-4, SNK8-9).
+"""File and record sources, and the table sinks (SRC1-6, SNK3-4).
 
 Readers take an explicit schema (no inference pass over the data) and keep
 TotalCharges as text so cleaning decides what a blank means. Size guards of
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import ID_COL, MAX_CSV_BATCH, MAX_JSON_BATCH, PREDICTION_LOG, RAW_SUBSCRIBER, REQUIRED_COLUMNS
+from ..schemas import ID_COL, MAX_CSV_BATCH, MAX_JSON_BATCH, RAW_SUBSCRIBER, REQUIRED_COLUMNS
 
 
 def read_subscribers_csv(spark: SparkSession, path: str, schema=RAW_SUBSCRIBER) -> DataFrame:
@@ -89,20 +89,6 @@ def read_splits(spark: SparkSession, path: str, label: str) -> tuple[DataFrame,
     return (*(p.drop(label) for p in parts), *(p.select(ID_COL, label) for p in parts))
 
 
-def append_predictions(scores: DataFrame, path: str, model_version: str) -> None:
-    """SNK2: append score rows to the prediction log (partitioned by tier); errors surface."""
-    out = scores.select(
-        F.expr("uuid()").alias("id"),
-        F.col(ID_COL).alias("customer_id"),
-        F.col("churn_probability").cast(PREDICTION_LOG["churn_probability"].dataType).alias("churn_probability"),
-        F.col("churn_prediction").cast("int").alias("churn_prediction"),
-        F.col("churn_risk_tier"),
-        F.col("ltv_prediction").cast(PREDICTION_LOG["ltv_prediction"].dataType).alias("ltv_prediction"),
-        F.lit(model_version).alias("model_version"),
-        F.current_timestamp().alias("predicted_at"))
-    out.write.mode("append").partitionBy("churn_risk_tier").parquet(path)
-
-
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """SNK3/SNK4: write a result or split table as Parquet."""
     w = df.write.mode("overwrite")

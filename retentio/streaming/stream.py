@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import risk_tier
 from ..operators.bucketed import BucketedTable
 from ..session import checkpoint_dir
+from ..sources.prediction_log import PredictionLog
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -80,10 +81,13 @@ def tier_kpis(df: DataFrame, tier_col: str = "churn_risk_tier") -> DataFrame:
                                     exact_avg("churn_probability").alias("avg_churn_probability"))
 
 
-def score_stream(stream: DataFrame, score_fn, sink: str, checkpoint: str,
-                 model_version: str = "2.0.0", name: str = "score_stream") -> str:
-    """STR1: score arriving rows and append them to the prediction log (idempotent by batch id)."""
+def score_stream(stream: DataFrame, score_fn, sink: str | PredictionLog, checkpoint: str,
+                 model_version: str = "2.0.0", name: str = "score_stream") -> str | PredictionLog:
+    """STR1: score arriving rows and append them, idempotent by batch id, to a folder or to the prediction log with its ids."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        if isinstance(sink, PredictionLog):
+            sink.append(score_fn(batch), model_version, feed=name, batch=batch_id)
+            return
         scored = (score_fn(batch).withColumn("model_version", F.lit(model_version))
                   .withColumn("predicted_at", F.current_timestamp())
                   .withColumn("batch_id", F.lit(batch_id)))
