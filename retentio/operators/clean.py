@@ -82,7 +82,10 @@ def select_existing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def ensure_id(df: DataFrame, id_col: str = ID_COL, prefix: str = "CUST_") -> DataFrame:
-    """PRJ4: rows without an id get a content-derived name (stable across layouts)."""
+    """PRJ4: rows without an id get a content-derived name (stable across layouts; equal rows share it).
+
+    ``sources.positions`` gives names by file position, which differ for equal rows.
+    """
     if id_col not in df.columns:
         df = df.withColumn(id_col, F.lit(None).cast("string"))
     others = [c for c in df.columns if c != id_col]

@@ -7,7 +7,7 @@ Several KPI cards are fused into one pass with conditional aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +83,31 @@ def kpis_filtered_vs_overall(customers: DataFrame, predicate: F.Column) -> DataF
         F.avg("tenure").alias("avg_tenure_overall"))
 
 
+NO_MATCH = "no customers match"
+
+
+def guarded_kpis(customers: DataFrame, filters: Mapping[str, F.Column]) -> DataFrame:
+    """FLT4: KPIs of several filter choices in one scan; a choice that matches nobody says so and has null KPIs."""
+    def kpis(name: str, predicate: F.Column) -> F.Column:
+        sel = F.coalesce(predicate, F.lit(False))
+        n = F.count(F.when(sel, 1))
+        return F.struct(
+            F.lit(name).alias("filter_name"), n.alias("n"),
+            F.when(n == 0, NO_MATCH).otherwise("ok").alias("status"),
+            (F.avg(F.when(sel, F.col("Churn"))) * 100).alias("churn_rate"),
+            F.avg(F.when(sel, F.col("MonthlyCharges"))).alias("avg_charges"))
+
+    row = customers.agg(F.array(*[kpis(name, p) for name, p in filters.items()]).alias("k"))
+    return row.select(F.inline("k"))
+
+
+def non_empty(df: DataFrame, message: str = NO_MATCH) -> DataFrame:
+    """FLT4: the frame itself, or ``ValueError`` when it has no row (stops at the first row found)."""
+    if df.isEmpty():
+        raise ValueError(message)
+    return df
+
+
 def churn_share(customers: DataFrame, label: str = "Churn") -> DataFrame:
     """AGG5 / AGG13: class counts and share of the total."""
     counts = customers.groupBy(label).agg(F.count(F.lit(1)).alias("n"))

@@ -31,5 +31,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from . import (  # noqa: F401
-        q_reports, q_quality, q_features, q_eval, q_models, q_stream, q_io, q_jobs,
+        q_reports, q_quality, q_features, q_eval, q_models, q_stream, q_io, q_jobs, q_sources,
     )

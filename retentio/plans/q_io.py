@@ -9,7 +9,7 @@ from ..operators import split as SP
 from ..operators.clean import clean
 from ..operators.profile import profiled_write
 from ..operators.quantile import exact_median
-from ..schemas import RAW_SUBSCRIBER
+from ..schemas import MAX_CSV_BATCH, MAX_JSON_BATCH, RAW_SUBSCRIBER
 from ..sources import files as FS
 from ..sources.prediction_log import PredictionLog
 from ..streaming.stream import run_folder
@@ -47,25 +47,36 @@ def json_roundtrip(spark, sf_dir):
     return _raw_out(FS.read_records_json(spark, path))
 
 
-_REQUEST_SQL = with_subscribers(f"""
-SELECT {_RAW_COLS_SQL} FROM (SELECT * FROM s ORDER BY md5('42:' || "customerID"), "customerID" LIMIT 500)""")
+def _request_sql(limit: int) -> str:
+    """Customers of the requests that the limit lets through; two requests a span of 2.4 limits, 0.8 and 1.6 long."""
+    span, short = limit * 12 // 5, limit * 4 // 5
+    return with_subscribers(f"""
+WITH r AS (SELECT *, CAST("customerID" AS BIGINT) // {span} * 2 + CAST(CAST("customerID" AS BIGINT) % {span} >= {short} AS INTEGER) AS request FROM s)
+SELECT {_RAW_COLS_SQL} FROM r QUALIFY COUNT(*) OVER (PARTITION BY request) <= {limit}""")
 
 
-@register("csv_batch", _REQUEST_SQL)
+def _requests(df, limit: int):
+    """The table as request files, one a folder ``request=``; each is bounded by its span of keys."""
+    span, short, key = limit * 12 // 5, limit * 4 // 5, F.col("customerID").cast("bigint")
+    request = F.floor(key / span) * 2 + (key % span >= short).cast("int")
+    return df.withColumn("request", request).repartition("request").write.partitionBy("request")
+
+
+@register("csv_batch", _request_sql(MAX_CSV_BATCH))
 def csv_batch(spark, sf_dir):
-    """SRC3: a scoring file of 500 customers, read through the guards of the batch service."""
-    path = run_folder(spark, "batch") + ".csv"
-    (SP.sample_k(C.raw(spark, sf_dir), "customerID", 500).write.option("header", True)
+    """SRC3: the whole table as scoring files, each taken or refused by the limits of the batch service."""
+    path = run_folder(spark, "batch-csv")
+    (_requests(C.raw(spark, sf_dir), MAX_CSV_BATCH).option("header", True)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
-    return _raw_out(FS.read_batch_csv(spark, path))
+    return _raw_out(FS.read_batch_folder(spark, path, ".csv")[0])
 
 
-@register("json_batch", _REQUEST_SQL)
+@register("json_batch", _request_sql(MAX_JSON_BATCH))
 def json_batch(spark, sf_dir):
-    """SRC4: a scoring request of 500 records, read through the guards of the batch service."""
+    """SRC4: the whole table as scoring requests of JSON records, each taken or refused by the service's limits."""
     path = run_folder(spark, "batch-json")
-    SP.sample_k(C.raw(spark, sf_dir), "customerID", 500).write.json(path)
-    return _raw_out(FS.read_batch_json(spark, path))
+    _requests(C.raw(spark, sf_dir), MAX_JSON_BATCH).json(path)
+    return _raw_out(FS.read_batch_folder(spark, path, ".json")[0])
 
 
 @register("stored_splits", with_clean("""

