@@ -78,8 +78,9 @@ class Codec:
         self.span: dict[str, int] = {}
         for t in [*self.inner, *self.final]:
             self.span[t[:2]] = max(self.span.get(t[:2], 1), len(t))
-        #: words and chunks as ids, as digest parts and as bytes; a job fills one of them
-        self.words, self.chunks, self.raw = bpe.Cache(), bpe.Cache(), bpe.Cache()
+        #: words and chunks as ids, as digest parts and as bytes; a job fills one of them. Digest parts hold the ids and
+        #: the decoded text as strings, several times the bytes of ids alone
+        self.words, self.chunks, self.raw = bpe.Cache(), bpe.Cache(limit=4 * bpe.MAX_BYTES), bpe.Cache()
         self.merger = BatchMerger(r)
 
     # -- verify ---------------------------------------------------------------------------------------------
