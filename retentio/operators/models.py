@@ -10,6 +10,7 @@ feature list (the spend model never sees its target or values derived from it).
 from __future__ import annotations
 
 import json
+import math
 import os
 from dataclasses import dataclass, field
 from functools import reduce
@@ -40,6 +41,8 @@ LTV_GBT = dict(maxIter=200, maxDepth=5, stepSize=0.05, subsamplingRate=0.8,
 # executors instead of shipping the growing trees each level, and the per-iteration
 # state is checkpointed every 10 iterations into the shared folder.
 _TREE_EXEC = dict(cacheNodeIds=True, checkpointInterval=10)
+#: training rows of one task: a boosted fit runs a short job for every level of every tree
+ROWS_PER_TASK = 20_000
 BASELINE_GBT_DEPTH = 4
 RF_STUMPS = dict(numTrees=100, maxDepth=1, featureSubsetStrategy="sqrt", bootstrap=True, seed=42)
 LTV_LEAKS = (LTV_TARGET, "charge_ratio", "charges_difference")
@@ -106,6 +109,19 @@ def _exec(kind: str) -> dict:
     return _TREE_EXEC if kind in ("gbt", "rf") else {}
 
 
+def _dealt(train: DataFrame, kind: str) -> DataFrame:
+    """The rows for a boosted fit in even tasks of about ``ROWS_PER_TASK``, in an order of their own.
+
+    The tasks follow the rows and not the partitions that the upstream joins leave, of which every level of every tree
+    would start two tasks each. Rows are dealt by all columns, so that null or repeated ids do not meet in one task, and
+    sorted, so that MLlib's draws do not depend on the layout.
+    """
+    if kind != "gbt":
+        return train
+    tasks = max(1, math.ceil(train.count() / ROWS_PER_TASK))
+    return train.repartition(tasks, *train.columns).sortWithinPartitions(*train.columns)
+
+
 def _feature_frame(df: DataFrame, task: str) -> DataFrame:
     drop = [ID_COL, CHURN_COL]
     if task == "ltv":
@@ -121,7 +137,7 @@ def train_churn(train: DataFrame, kind: str = "gbt", categorical=CATEGORICAL, nu
     checkpoint_dir(train.sparkSession)  # MLlib checkpoints only when the context has a folder
     x = _feature_frame(train, "churn")
     enc = fit_encoder(x, categorical, numerical)
-    data = enc.vector(train, keep=[CHURN_COL]).withColumnRenamed(CHURN_COL, "label")
+    data = enc.vector(_dealt(train, kind), keep=[CHURN_COL]).withColumnRenamed(CHURN_COL, "label")
     model = cls(featuresCol="features", labelCol="label", **params, **_exec(kind)).fit(data)
     return FittedModel("churn", kind, enc, model, params, median)
 
@@ -134,7 +150,7 @@ def train_ltv(train: DataFrame, kind: str = "gbt", categorical=CATEGORICAL, nume
     checkpoint_dir(train.sparkSession)
     x = _feature_frame(train, "ltv")
     enc = fit_encoder(x, categorical, [c for c in numerical if c not in LTV_LEAKS])
-    data = enc.vector(train, keep=[LTV_TARGET]).withColumn("label", F.col(LTV_TARGET).cast("double"))
+    data = enc.vector(_dealt(train, kind), keep=[LTV_TARGET]).withColumn("label", F.col(LTV_TARGET).cast("double"))
     model = reg(featuresCol="features", labelCol="label", **params, **_exec(kind)).fit(data)
     return FittedModel("ltv", kind, enc, model, params, median)
 
