@@ -3,11 +3,10 @@
 Four strict patterns with their checks give the base spans, which always stay.
 Loose generators (addresses with a written-out at sign, clusters of digits in
 any grouping) propose further, overlapping spans. Boosted trees score every
-proposal from its format and its surroundings. They learn from a bounded sample
-of documents chosen by a hash of the id, and from examples that are made anew
-for every fit, in a fixed number, so that a small table is judged like a large
-one. No label is read off the features: a sampled proposal that meets a base
-span is a positive; each base span is written anew twice, in a form the strict
+proposal from its format and its surroundings. They learn from every document,
+and from examples that are made anew for every fit, in a fixed number, so that
+a table without base spans has thresholds too. No label is read off the
+features: a proposal that meets a base span is a positive; each base span is written anew twice, in a form the strict
 pattern misses (MASKED, a positive) and in one that is no personal data
 (SPOILED, a negative); of the examples it is known what was written (EXAMPLES).
 Proposals of the table that meet no base span are never labelled: they are
@@ -27,6 +26,8 @@ extra columns are kept, columns of the same names replaced.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,7 +37,9 @@ from ..session import cut_lineage
 from .common import text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS, TREES, DEPTH, PRECISION, SEED = 20_000, 12, 3, 0.995, 5
+TREES, DEPTH, PRECISION, SEED = 12, 3, 0.995, 5
+#: training rows of one task
+ROWS_PER_TASK = 50_000
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: strict patterns: same matches as the plain forms, but linear in the text
@@ -216,12 +219,8 @@ def examples(spark: SparkSession, n: int = N_EXAMPLES, seed: int = SEED) -> Data
                        F.expr(f"cast({good} AS double)").alias("label"), F.expr("length(before)").alias("s"), F.expr("length(before) + length(item)").alias("e"))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION,
-        doc_id: str = "doc_id", text: str = "text") -> Model:
-    place = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1_000_003))
-    n = docs.count()
-    share = min(1.0, sample_docs / max(1, n))
-    body = docs.where(place < F.lit(int(share * 1_000_003) + 1)).select(F.col(doc_id).alias("id"), text_or_empty(text).alias("body"))
+def fit(docs: DataFrame, precision: float = PRECISION, doc_id: str = "doc_id", text: str = "text") -> Model:
+    body = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("body"))
     told = with_proposals(with_variants(with_base(body, "body"), "body"), "body").select(F.xxhash64("id").alias("h"), "form", F.explode("_cand").alias("x"))
     label = F.expr("""CASE form WHEN 'as is' THEN CASE WHEN x.hit THEN 1D END
         WHEN 'masked' THEN CASE WHEN x.hit AND x.kind <> 1 THEN 1D END ELSE CASE WHEN NOT x.free THEN 0D END END""")
@@ -230,8 +229,10 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PREC
     rows = told.withColumn("label", label).where("label IS NOT NULL").select("h", "label", "x").unionByName(made)
     rows = cut_lineage(rows.select((F.pmod("h", F.lit(3)) == 0).alias("judge"), "label", "x.kind", *[f"x.{n}" for n in FEATURES]))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+    learnt = vectors.where("not judge").select("features", "label")
+    tasks = max(1, math.ceil(learnt.count() / ROWS_PER_TASK))
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, featuresCol="features", labelCol="label").fit(
-        vectors.where("not judge").select("features", "label").coalesce(8))
+        learnt.repartition(tasks))
     margin = " + ".join(f"{float(w)!r}D * {_as_sql(t._java_obj.rootNode())}" for w, t in zip(trees.treeWeights, trees.trees))
     judged = rows.where("judge").withColumn("x", F.struct("kind", *FEATURES)).select(
         "kind", "label", F.floor(F.expr(margin) * 20).alias("step"))
