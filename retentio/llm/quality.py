@@ -8,8 +8,8 @@ training data reaches the driver. Each fold is scored by the weights of the
 other folds (total minus own sums); these out-of-fold scores, binned, give the
 isotonic curve by pooling adjacent violators.
 
-The fit uses at most ``max_rows`` labelled rows (a documented bound), chosen by
-a hash of the id; scoring covers every document. Defined results: null text
+The fit uses every labelled row outside the held-out fold, scoring covers every
+document. Defined results: null text
 counts as empty and is scored like any text; null ids are never training rows;
 a document with several labels counts with its least one; labels other than 0
 and 1 and null labels are passed over; without labelled rows, or with labels
@@ -34,7 +34,7 @@ from ..session import cut_lineage
 from .common import small_batches, text_or_empty
 
 FOLDS, HELD_OUT = 5, 0
-FEATURES, RIDGE, BINS, MAX_ROWS, SEED = 256, 1e-3, 2000, 200_000, 11
+FEATURES, RIDGE, BINS, SEED = 256, 1e-3, 2000, 11
 #: raw ridge scores are binned for calibration between these
 LOW, HIGH = -0.5, 1.5
 
@@ -134,18 +134,14 @@ def _added(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"fold": [pdf["fold"].iloc[0]], "a": [a.tobytes()], "c": [c.tobytes()]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: float = RIDGE, max_rows: int = MAX_ROWS,
+def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: float = RIDGE,
         doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Learns from labelled rows outside the held-out fold."""
     small_batches(docs.sparkSession)
     told = (labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label).cast("double").alias("y")))
     mine = docs.select(F.col(doc_id).alias("doc_id"), stats_column(text_or_empty(text)).alias("stats")).where("doc_id is not null")
-    known = cut_lineage(mine.withColumn("fold", fold_of(F.col("doc_id"))).where(F.col("fold") != HELD_OUT)
-                        .join(told, F.col("doc_id") == F.col("_id")).select("doc_id", "fold", "stats", "y"))
-    n = known.count()
-    # a hash of the id chooses the rows of the bounded sample
-    share = min(1.0, max_rows / max(1, n))
-    rows = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(math.ceil(share * 1_000_003))).select("fold", "stats", "y")
+    rows = cut_lineage(mine.withColumn("fold", fold_of(F.col("doc_id"))).where(F.col("fold") != HELD_OUT)
+                        .join(told, F.col("doc_id") == F.col("_id")).select("fold", "stats", "y"))
     moments = rows.agg(F.count("*"), F.avg("y"), *[F.avg(F.get("stats", F.lit(k))) for k in range(N_STATS)],
                        *[F.stddev_pop(F.get("stats", F.lit(k))) for k in range(N_STATS)]).first()
     rng = np.random.default_rng(SEED)
