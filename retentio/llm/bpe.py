@@ -26,12 +26,16 @@ def _weight(value) -> int:
     return sys.getsizeof(value) + (sum(map(sys.getsizeof, value)) if type(value) is tuple else 0)
 
 
+def _weights(values: list) -> int:
+    return sum(map(_weight if values and type(values[0]) is tuple else sys.getsizeof, values))
+
+
 class Cache(dict):
     """A bounded memo: when it is full, it becomes the old generation, of which only words seen again return."""
 
     def __init__(self, make=None, limit: int = MAX_BYTES):
         super().__init__()
-        self.make, self.limit, self.old, self.held = make, limit, {}, 0
+        self.make, self.limit, self.old, self.held, self.long = make, limit, {}, 0, []
 
     def keep(self, key: str, value):
         if len(key) <= MAX_CACHED_CHARS:
@@ -42,11 +46,30 @@ class Cache(dict):
             self.held += _ENTRY + sys.getsizeof(key) + _weight(value)
         return value
 
-    def find(self, key: str):
-        hit = self.get(key)
-        if hit is None and (hit := self.old.get(key)) is not None:
-            self.keep(key, hit)
-        return hit
+    def turn(self) -> None:
+        """Between batches: a full generation becomes the old one, and keys too long to keep go."""
+        for key in self.long:
+            del self[key]
+        self.long = []
+        if self.held >= self.limit:
+            self.old, self.held = dict(self), 0
+            self.clear()
+
+    def recall(self, keys) -> list[str]:
+        """Of ``keys`` those without a value; what only the old generation holds comes back into the present one."""
+        old, new = self.old, [k for k in keys if k not in self]
+        known = [k for k in new if k in old]
+        if known:
+            self.add(known, [old[k] for k in known])
+            new = [k for k in new if k not in old]
+        return new
+
+    def add(self, keys: list[str], values: list) -> None:
+        """Hold new keys at least until ``turn``: a batch reads its values here."""
+        self.update(zip(keys, values))
+        self.held += _ENTRY * len(keys) + _weights(keys) + _weights(values)
+        if max(map(len, keys), default=0) > MAX_CACHED_CHARS:
+            self.long += [k for k in keys if len(k) > MAX_CACHED_CHARS]
 
     def __missing__(self, key: str):
         hit = self.old.get(key)

@@ -14,6 +14,7 @@ import numpy as np
 from .bpe import Ranks
 
 LONGEST = 32
+SLOTS, _MIX = 18, np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.int64(1) << 30
 _INDEX = (np.int64(1) << 32) - 1
 
@@ -24,32 +25,44 @@ class BatchMerger:
         self.size = max(ranks.vocab.values()) + 1
         made = sorted((a * self.size + b, rank, whole) for (a, b), (rank, whole) in ranks.pairs.items())
         self.keys, self.rank, self.whole = (np.array(c, np.int64) for c in zip(*made))
-        codes = [ord(c) for c in ranks.byte.values()]
-        self.inner, self.final = np.zeros(max(codes) + 1, np.int64), np.zeros(max(codes) + 1, np.int64)
-        self.inner[codes] = [ranks.vocab[chr(c)] for c in codes]
-        self.final[codes] = [ranks.last[chr(c)] for c in codes] if ranks.suffix else self.inner[codes]
+        #: the first symbol of every byte, within a word and at its end
+        self.inner = np.array([ranks.vocab[ranks.byte[b]] for b in range(256)], np.int64)
+        self.final = np.array([ranks.last[ranks.byte[b]] for b in range(256)], np.int64) if ranks.suffix else self.inner
+
+        #: a slot for each pair by a hash; pairs that find theirs taken stay in the sorted table alone
+        self.slot = np.full(1 << SLOTS, -1, np.int32)
+        at = self.hashed(self.keys)
+        self.slot[at[::-1]] = np.arange(len(self.keys), dtype=np.int32)[::-1]
+        self.crowded = np.zeros(1 << SLOTS, bool)
+        self.crowded[at[self.slot[at] != np.arange(len(self.keys))]] = True
+
+    def hashed(self, code: np.ndarray) -> np.ndarray:
+        return (code.astype(np.uint64) * _MIX >> np.uint64(64 - SLOTS)).astype(np.int64)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of each pair in the table, its rank; _NONE where the table lacks it)."""
         code = left * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, code), len(self.keys) - 1)
-        return at, np.where(self.keys[at] == code, self.rank[at], _NONE)
+        h = self.hashed(code)
+        at = self.slot[h].astype(np.int64)
+        hit = self.keys[at] == code
+        rest = np.flatnonzero(~hit & self.crowded[h])
+        if len(rest):
+            at[rest] = np.minimum(np.searchsorted(self.keys, code[rest]), len(self.keys) - 1)
+            hit[rest] = self.keys[at[rest]] == code[rest]
+        return at, np.where(hit, self.rank[at], _NONE)
 
     def merge(self, words: list[str]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit numbers."""
         out: list[bytes] = [b""] * len(words)
-        symbols = [self.ranks.symbols(w) for w in words]
-        short = []
-        for k, s in enumerate(symbols):
-            if 0 < len(s) <= LONGEST:
-                short.append(k)
-            elif s:
-                out[k] = np.array(self.ranks.merge(self.ranks.start(s))[0], "<u4").tobytes()
-        if not short:
+        coded = list(map(str.encode, words))
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        for k in np.flatnonzero(sizes > LONGEST).tolist():
+            out[k] = np.array(self.ranks.merge(self.ranks.start(self.ranks.symbols(words[k])))[0], "<u4").tobytes()
+        number = np.flatnonzero((sizes > 0) & (sizes <= LONGEST))
+        if not len(number):
             return out
-        number = np.array(short)
-        sizes = np.fromiter((len(symbols[k]) for k in short), np.int64, len(short))
-        code = np.frombuffer("".join([symbols[k] for k in short]).encode("utf-16-le"), "<u2")
+        sizes = sizes[number]
+        code = np.frombuffer(b"".join([coded[k] for k in number.tolist()]), np.uint8)
         ids, last = self.inner[code], np.cumsum(sizes) - 1
         ids[last] = self.final[code[last]]
         rank = np.full(len(ids), _NONE)

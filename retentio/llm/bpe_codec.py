@@ -20,6 +20,7 @@ texts and words are handled whole.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import unicodedata
@@ -47,6 +48,7 @@ class Codec:
     def __init__(self, path: str):
         self.ranks = r = bpe.ranks(path)
         self.find = regex.compile(WORDS).findall
+        self.find_lines = regex.compile(WORDS + r"|\n").findall
         self.names = {i: t for t, i in r.vocab.items()} | {i: t for t, i in r.special.items()}
         size = max(self.names) + 1
         self.size = size
@@ -80,7 +82,7 @@ class Codec:
             self.span[t[:2]] = max(self.span.get(t[:2], 1), len(t))
         #: words and chunks as ids, as digest parts and as bytes; a job fills one of them. Digest parts hold the ids and
         #: the decoded text as strings, several times the bytes of ids alone
-        self.words, self.chunks, self.raw = bpe.Cache(), bpe.Cache(limit=4 * bpe.MAX_BYTES), bpe.Cache()
+        self.words, self.chunks, self.raw = bpe.Cache(), bpe.Cache(limit=4 * bpe.MAX_BYTES), bpe.Cache(limit=2 * bpe.MAX_BYTES)
         self.merger = BatchMerger(r)
 
     # -- verify ---------------------------------------------------------------------------------------------
@@ -162,31 +164,27 @@ class Codec:
         """The value of every chunk of a batch: ``values`` gives those of a list of words, ``join`` that of several words.
 
         ``cache`` keeps the values of words and of chunks of several words alike: a word is the chunk that holds it alone.
+        It is returned and holds every chunk of the batch until the next call.
         """
-        view, new = {}, []
-        young, old, keep = cache, cache.old, cache.keep
-        for c in set().union(*(chunks for doc in parts for chunks, _ in doc)):
-            hit = young.get(c)
-            if hit is None:
-                hit = old.get(c)
-                if hit is None:
-                    new.append(c)
-                    continue
-                keep(c, hit)
-            view[c] = hit
-        split = [[c] if c.isascii() and c.isalpha() else self.find(c) for c in new]
-        words, fresh = {}, []
-        for w in {w for ws in split for w in ws}:
-            hit = cache.find(w)
-            if hit is None:
-                fresh.append(w)
-            else:
-                words[w] = hit
-        for w, value in zip(fresh, values(fresh)):
-            words[w] = keep(w, value)
-        for c, ws in zip(new, split):
-            view[c] = words[ws[0]] if len(ws) == 1 else keep(c, join([words[w] for w in ws]))
-        return view
+        cache.turn()
+        new = cache.recall(set().union(*(chunks for doc in parts for chunks, _ in doc)))
+        mixed = [c for c in new if not (c.isascii() and c.isalpha())]
+        # one search over all of them: a chunk holds no white space, so the line breaks that come back part them
+        found = self.find_lines("\n".join(mixed))
+        words = {c for c in new if c.isascii() and c.isalpha()}
+        words.update(found)
+        words.discard("\n")
+        fresh = cache.recall(words)
+        cache.add(fresh, list(values(fresh)))
+        value, begin, chunks, joined = cache.__getitem__, 0, [], []
+        ends = [k for k, w in enumerate(found) if w == "\n"]
+        for c, end in zip(mixed, [*ends, len(found)]):
+            if c not in cache:
+                chunks.append(c)
+                joined.append(join(list(map(value, found[begin:end]))))
+            begin = end + 1
+        cache.add(chunks, joined)
+        return cache
 
     def encode(self, text: str) -> list[int]:
         parts = [self.parts(text)]
@@ -200,7 +198,9 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    made = Codec(path)
+    gc.freeze()  # the tables stay: later collections need not walk them
+    return made
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:

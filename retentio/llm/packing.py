@@ -60,13 +60,7 @@ def pack(docs: DataFrame, path: str, max_len: int = MAX_LEN, with_ids: bool = Fa
             view = c.learn(parts, c.raw, c.merger.merge, b"".join)
             out = []
             for doc, runs in zip(batch["doc_id"], parts):
-                got = []
-                for chunks, end in runs:
-                    got += map(view.__getitem__, chunks)
-                    if end >= 0:
-                        got.append(raw([end]))
-                got.append(_END)
-                data = b"".join(got)
+                data = b"".join([b"".join(map(view.__getitem__, chunks)) + (raw([end]) if end >= 0 else b"") for chunks, end in runs] + [_END])
                 n = len(data) // 4
                 at = 0
                 for size in cut(n, max_len):
