@@ -17,6 +17,7 @@ from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
+from pyspark import StorageLevel
 from pyspark.ml import classification as MC
 from pyspark.ml import regression as MR
 from pyspark.ml.functions import vector_to_array
@@ -37,10 +38,10 @@ CHURN_GBT = dict(maxIter=100, maxDepth=6, stepSize=0.1, subsamplingRate=0.8,
                  featureSubsetStrategy="0.8", seed=42)
 LTV_GBT = dict(maxIter=200, maxDepth=5, stepSize=0.05, subsamplingRate=0.8,
                featureSubsetStrategy="0.8", seed=42)
-# Execution settings for boosted trees (results unchanged): node ids are cached on the
-# executors instead of shipping the growing trees each level, and the per-iteration
-# state is checkpointed every 10 iterations into the shared folder.
-_TREE_EXEC = dict(cacheNodeIds=True, checkpointInterval=10)
+# Execution settings for tree ensembles (results unchanged): the per-iteration state is checkpointed every 10 iterations
+# into the shared folder. Node ids are not cached: a tree of a few levels is cheaper to walk than a column of ids is to
+# store anew after every level.
+_TREE_EXEC = dict(cacheNodeIds=False, checkpointInterval=10)
 #: training rows of one task: a boosted fit runs a short job for every level of every tree
 ROWS_PER_TASK = 20_000
 BASELINE_GBT_DEPTH = 4
@@ -109,6 +110,25 @@ def _exec(kind: str) -> dict:
     return _TREE_EXEC if kind in ("gbt", "rf") else {}
 
 
+def _fit(estimator, train: DataFrame, kind: str, encode):
+    """(encoder, model): ``encode`` gives the encoder fitted on the rows and their vectors, which the estimator takes.
+
+    A boosted fit runs hundreds of short jobs, so its rows are dealt once, and their vectors are written to the shared
+    checkpoint folder: every job else ships and walks the plan of the joins before them.
+    """
+    rows = _dealt(train, kind)
+    if kind != "gbt":
+        enc, vectors = encode(rows)
+        return enc, estimator.fit(vectors)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        enc, vectors = encode(rows)
+        vectors = vectors.checkpoint()
+    finally:
+        rows.unpersist()
+    return enc, estimator.fit(vectors)
+
+
 def _dealt(train: DataFrame, kind: str) -> DataFrame:
     """The rows for a boosted fit in even tasks of about ``ROWS_PER_TASK``, in an order of their own.
 
@@ -135,10 +155,12 @@ def train_churn(train: DataFrame, kind: str = "gbt", categorical=CATEGORICAL, nu
     cls, _, defaults = _CLASSIFIERS[kind]
     params = {**defaults, **overrides}
     checkpoint_dir(train.sparkSession)  # MLlib checkpoints only when the context has a folder
-    x = _feature_frame(train, "churn")
-    enc = fit_encoder(x, categorical, numerical)
-    data = enc.vector(_dealt(train, kind), keep=[CHURN_COL]).withColumnRenamed(CHURN_COL, "label")
-    model = cls(featuresCol="features", labelCol="label", **params, **_exec(kind)).fit(data)
+
+    def encode(rows):
+        enc = fit_encoder(_feature_frame(rows, "churn"), categorical, numerical)
+        return enc, enc.vector(rows, keep=[CHURN_COL]).withColumnRenamed(CHURN_COL, "label")
+
+    enc, model = _fit(cls(featuresCol="features", labelCol="label", **params, **_exec(kind)), train, kind, encode)
     return FittedModel("churn", kind, enc, model, params, median)
 
 
@@ -148,10 +170,12 @@ def train_ltv(train: DataFrame, kind: str = "gbt", categorical=CATEGORICAL, nume
     reg, _, defaults = _REGRESSORS[kind]
     params = {**defaults, **overrides}
     checkpoint_dir(train.sparkSession)
-    x = _feature_frame(train, "ltv")
-    enc = fit_encoder(x, categorical, [c for c in numerical if c not in LTV_LEAKS])
-    data = enc.vector(_dealt(train, kind), keep=[LTV_TARGET]).withColumn("label", F.col(LTV_TARGET).cast("double"))
-    model = reg(featuresCol="features", labelCol="label", **params, **_exec(kind)).fit(data)
+
+    def encode(rows):
+        enc = fit_encoder(_feature_frame(rows, "ltv"), categorical, [c for c in numerical if c not in LTV_LEAKS])
+        return enc, enc.vector(rows, keep=[LTV_TARGET]).withColumn("label", F.col(LTV_TARGET).cast("double"))
+
+    enc, model = _fit(reg(featuresCol="features", labelCol="label", **params, **_exec(kind)), train, kind, encode)
     return FittedModel("ltv", kind, enc, model, params, median)
 
 

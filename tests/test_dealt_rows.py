@@ -28,3 +28,27 @@ def test_a_boosted_fit_does_not_depend_on_the_layout(spark):
     rows = _rows(spark)
     fits = [M.train_churn(rows.repartition(n), "gbt", maxIter=3, maxDepth=3).importances() for n in (3, 17)]
     assert fits[0] == fits[1]
+
+
+def test_vectors_of_a_boosted_fit_are_written_once_and_cut_from_the_joins(spark, monkeypatch):
+    for name in ("GBTClassifier", "LogisticRegression"):
+        monkeypatch.setattr(getattr(M.MC, name), "fit", lambda self, data: data)
+    monkeypatch.setattr(M.MR.GBTRegressor, "fit", lambda self, data: data)
+    rows = _rows(spark).join(spark.range(3).withColumnRenamed("id", "tenure"), "tenure", "left").repartition(64)
+    spent = rows.withColumn("TotalCharges", F.col("MonthlyCharges") * 2)
+    for fitted in (M.train_churn(rows, "gbt"), M.train_ltv(spent, "gbt")):
+        plan = fitted.model._jdf.queryExecution().analyzed().toString()
+        assert "Join" not in plan and "Repartition" not in plan and "LogicalRDD" in plan
+        assert fitted.model.rdd.getNumPartitions() == 1 and fitted.model.count() == rows.count()
+    assert "Join" in M.train_churn(rows, "lr").model._jdf.queryExecution().analyzed().toString()
+
+
+def test_models_of_one_query_are_fitted_side_by_side(spark, monkeypatch):
+    from threading import Barrier
+
+    from retentio.plans import q_models as Q
+
+    both = Barrier(2, timeout=20)
+    monkeypatch.setattr(Q, "_splits", lambda *_: None)
+    monkeypatch.setattr(Q, "_model", lambda spark, sf_dir, task, kind: (both.wait() >= 0) and (task, kind))
+    assert Q._fit_together(spark, "", ("churn", "gbt"), ("ltv", "gbt")) == [("churn", "gbt"), ("ltv", "gbt")]
