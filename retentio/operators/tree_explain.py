@@ -16,8 +16,10 @@ each leaf's Shapley values; for a leaf (a product game) feature i gets
 
 where c_k sums, over coalitions of size k of the other m - 1 path features,
 the product of their z (in) and r (out) factors (a short dynamic program).
-This equals path-dependent tree SHAP (Lundberg et al., 2018). Everything is
-vectorised over the rows of an Arrow batch inside ``mapInPandas``.
+The z of a short path take few patterns, so this runs once per leaf and
+pattern, and a row only looks its pattern up. This equals path-dependent tree
+SHAP (Lundberg et al., 2018). Everything is vectorised over the rows of an
+Arrow batch inside ``mapInPandas``.
 
 For GBT classifiers the margin is ``sum_t w_t tree_t(x)`` and MLlib's
 probability is ``sigmoid(2 * margin)``, so attributions are reported in
@@ -42,6 +44,10 @@ from ..schemas import ID_COL
 from ..session import checkpoint_dir
 
 
+#: distinct features of a path up to which a leaf's attributions are looked up, 64 rows of doubles each
+TABLE_FEATURES = 6
+
+
 @dataclass
 class LeafPath:
     value: float
@@ -98,43 +104,62 @@ def _shapley_weights(m: int) -> np.ndarray:
     return np.array([math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)])
 
 
-def shap_batch(x: np.ndarray, trees: list[list[LeafPath]], weights: list[float],
-               scale: float = 1.0) -> tuple[np.ndarray, float]:
-    """(n x d) attributions and the base value for a batch of feature rows."""
+def _leaf_phi(leaf: LeafPath, v: float, z: list[np.ndarray]) -> list[np.ndarray]:
+    """Per path feature the leaf's attributions, for any number of rows given as indicators ``z`` by path feature."""
+    m, r = len(leaf.features), leaf.ratios
+    wts = _shapley_weights(m)
+    out = []
+    for i in range(m):
+        c = [np.ones(len(z[0]))]  # c[k]: coalitions of size k among the other features
+        for j in range(m):
+            if j == i:
+                continue
+            nxt = [c[0] * r[j]]
+            for k in range(1, len(c)):
+                nxt.append(c[k] * r[j] + c[k - 1] * z[j])
+            nxt.append(c[-1] * z[j])
+            c = nxt
+        total = sum(ck * wts[k] for k, ck in enumerate(c))
+        out.append(v * (z[i] - r[i]) * total)
+    return out
+
+
+def shap_tables(trees: list[list[LeafPath]], weights: list[float], scale: float = 1.0) -> list[list]:
+    """``_leaf_phi`` of every leaf for all patterns ``sum_j z_j 2^j`` of up to ``TABLE_FEATURES`` path features, else None."""
+    patterns = [[((np.arange(1 << m) >> j) & 1).astype(float) for j in range(m)] for m in range(TABLE_FEATURES + 1)]
+    return [[_leaf_phi(leaf, leaf.value * w * scale, patterns[len(leaf.features)])
+             if len(leaf.features) <= TABLE_FEATURES else None for leaf in leaves] for leaves, w in zip(trees, weights)]
+
+
+def shap_batch(x: np.ndarray, trees: list[list[LeafPath]], weights: list[float], scale: float = 1.0,
+               tables: list[list] | None = None) -> tuple[np.ndarray, float]:
+    """(n x d) attributions and the base value for a batch of feature rows; ``tables`` are those of ``shap_tables``."""
     n, d = x.shape
-    phi = np.zeros((n, d))
+    cols = np.ascontiguousarray(x.T)
+    phi = np.zeros((d, n))
     base = 0.0
-    for leaves, w in zip(trees, weights):
-        for leaf in leaves:
-            m = len(leaf.features)
+    for leaves, w, made in zip(trees, weights, tables or shap_tables(trees, weights, scale)):
+        for leaf, table in zip(leaves, made):
             v = leaf.value * w * scale
-            if m == 0:
+            if not leaf.features:
                 base += v
                 continue
             z = []
             for feat, tests in zip(leaf.features, leaf.tests):
-                col = x[:, feat]
                 ok = np.ones(n, dtype=bool)
                 for test, left, cat in tests:
-                    go_left = np.isin(col, np.asarray(test)) if cat else (col <= test)
+                    go_left = np.isin(cols[feat], np.asarray(test)) if cat else (cols[feat] <= test)
                     ok &= go_left if left else ~go_left
-                z.append(ok.astype(float))
-            r = leaf.ratios
-            base += v * float(np.prod(r))
-            wts = _shapley_weights(m)
-            for i in range(m):
-                c = [np.ones(n)]  # c[k]: coalitions of size k among the other features
-                for j in range(m):
-                    if j == i:
-                        continue
-                    nxt = [c[0] * r[j]]
-                    for k in range(1, len(c)):
-                        nxt.append(c[k] * r[j] + c[k - 1] * z[j])
-                    nxt.append(c[-1] * z[j])
-                    c = nxt
-                total = sum(ck * wts[k] for k, ck in enumerate(c))
-                phi[:, leaf.features[i]] += v * (z[i] - r[i]) * total
-    return phi, base
+                z.append(ok)
+            base += v * float(np.prod(leaf.ratios))
+            if table is None:
+                shares = _leaf_phi(leaf, v, [ok.astype(float) for ok in z])
+            else:
+                pattern = sum(ok.astype(np.intp) << j for j, ok in enumerate(z))
+                shares = [t[pattern] for t in table]
+            for feat, share in zip(leaf.features, shares):
+                phi[feat] += share
+    return np.ascontiguousarray(phi.T), base
 
 
 def tree_attributions(fitted, rows: DataFrame, id_col: str = ID_COL) -> DataFrame:
@@ -146,7 +171,7 @@ def tree_attributions(fitted, rows: DataFrame, id_col: str = ID_COL) -> DataFram
     # GBT classifier probability = sigmoid(2 * margin): report log-odds contributions
     scale = 2.0 if fitted.task == "churn" and fitted.kind == "gbt" else 1.0
     names = list(fitted.encoder.feature_columns)
-    bc = spark.sparkContext.broadcast((trees, weights, names, scale))
+    bc = spark.sparkContext.broadcast((trees, weights, names, scale, shap_tables(trees, weights, scale)))
     feats = fitted.features(rows, keep=[id_col]).select(
         F.col(id_col).cast("string").alias(id_col), vector_to_array("features").alias("x"))
     schema = T.StructType([T.StructField(id_col, T.StringType()), T.StructField("feature", T.StringType()),
@@ -154,12 +179,12 @@ def tree_attributions(fitted, rows: DataFrame, id_col: str = ID_COL) -> DataFram
                            T.StructField("base", T.DoubleType())])
 
     def explain(batches):
-        tr, wt, nm, sc = bc.value
+        tr, wt, nm, sc, tabs = bc.value
         for pdf in batches:
             if pdf.empty:
                 continue
             x = np.vstack(pdf["x"].to_numpy())
-            phi, base = shap_batch(x, tr, wt, sc)
+            phi, base = shap_batch(x, tr, wt, sc, tabs)
             n, d = phi.shape
             yield pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy(), d),
                                 "feature": np.tile(np.asarray(nm, dtype=object), n),
