@@ -92,9 +92,8 @@ def stream_upsert(spark, sf_dir):
 def stream_scores(spark, sf_dir):
     """STR1: raw customer records arriving as files are scored and appended to the log, batch-idempotent."""
     from ..operators import models as M
-    from .q_models import _model
-    churn = _model(spark, sf_dir, "churn", "gbt")
-    ltv = _model(spark, sf_dir, "ltv", "gbt")
+    from .q_models import _fit_together
+    churn, ltv = _fit_together(spark, sf_dir, ("churn", "gbt"), ("ltv", "gbt"))
     run = ST.run_folder(spark, "scores")
     raw = C.raw(spark, sf_dir)
     ST.stage_files(raw, f"{run}/source")
