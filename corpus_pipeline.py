@@ -18,6 +18,9 @@ from retentio.llm.queries import tokenizer
 from retentio.session import checkpoint_dir
 from retentio.sources.tables import table
 
+#: packing runs beside the memory that an executor's JVM keeps from the stages before it, so its workers take less
+PACK_CACHE, PACK_SLICE = 10 << 20, 1 << 20
+
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -43,7 +46,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of every document that is left."""
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"), cache_bytes=PACK_CACHE, slice_chars=PACK_SLICE)
 
 
 STAGES = [("quality", filter_quality), ("exact_dedup", dedup_exact), ("near_dedup", dedup_near),
