@@ -13,11 +13,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from .evaluate import compare_models
+
+#: rows whose margins meet in one task when the tree counts are judged
+RANGE_ROWS = 250_000
 
 
 def tree_arrays(spark: SparkSession, model) -> list[dict[str, np.ndarray]]:
@@ -77,11 +79,83 @@ def staged_margins(model, features: DataFrame, name: str = "margins") -> DataFra
     return features.withColumn(name, margins(vector_to_array("features")))
 
 
-def staged_auc(scored: DataFrame, by: Sequence[str], label: str = "label", margins: str = "margins") -> DataFrame:
-    """ROC-AUC after every tree: (by..., iteration from 1, n, roc_auc), all prefixes in one job."""
-    rows = scored.select(*by, label, F.posexplode(margins).alias("__at", "__margin"))
-    rows = rows.withColumn("iteration", F.col("__at") + 1)
-    return compare_models(rows, [*by, "iteration"], label, "__margin").select(*by, "iteration", "n", "roc_auc")
+def _counted(values: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in ascending order with the summed counts of both classes."""
+    distinct, place = np.unique(values, return_inverse=True)
+    return distinct, np.bincount(place, p, len(distinct)), np.bincount(place, q, len(distinct))
+
+
+def _margin_columns(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
+    """(key, iteration, margins, positive) of every batch, key and tree count."""
+    for batch in batches:
+        for key, rows in batch.groupby("key"):
+            held = rows["m"].to_numpy()
+            sizes, positive = np.fromiter(map(len, held), np.int64, len(held)), rows["y"].to_numpy(float)
+            for size in np.unique(sizes).tolist():
+                same = sizes == size
+                for k, column in enumerate(np.vstack(held[same]).T):
+                    yield key, k + 1, np.asarray(column, float), positive[same]
+
+
+def staged_auc(scored: DataFrame, by: Sequence[str], label: str = "label", margins: str = "margins",
+               range_rows: int = RANGE_ROWS) -> DataFrame:
+    """ROC-AUC after every tree: (by..., iteration from 1, n, roc_auc), exact, all prefixes in one job.
+
+    No row is made for a margin: each batch sends its distinct margins of a tree count, with their counts, as arrays to
+    ranges of about ``range_rows`` rows, whose bounds come from quantiles of all batches. A range gives its counts and
+    area; what lies above it is added per tree count. Equal margins are one entry of a batch, so a frequent one is no
+    load on its range. As in ``compare_models``: rows without a label do not count; a null margin is the least.
+    """
+    key = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}).alias("key")
+    told = scored.where(F.col(label).isNotNull() & F.col(margins).isNotNull() & (F.size(margins) > 0))
+    rows = told.select(key, (F.col(label) == 1).cast("int").alias("y"),
+                       F.transform(margins, lambda x: F.coalesce(x.cast("double"), F.lit(float("-inf")))).alias("m"))
+    most = told.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    ranges = -(-most // range_rows)
+    bounds: dict[tuple[str, int], np.ndarray] = {}
+    if ranges > 1:
+        at = np.linspace(0, 1, 65)
+
+        def quantiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for name, k, values, _ in _margin_columns(batches):
+                yield pd.DataFrame({"key": [name], "iteration": [k], "n": [float(len(values))], "q": [np.sort(values)[(at * (len(values) - 1)).astype(int)]]})
+
+        def cuts(pdf: pd.DataFrame) -> pd.DataFrame:
+            values, weight = np.concatenate(pdf["q"].to_list()), np.repeat(pdf["n"].to_numpy(), len(at))
+            order = np.argsort(values)
+            upto = np.cumsum(weight[order])
+            places = np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges)
+            return pd.DataFrame({"key": pdf["key"].iloc[:1], "iteration": pdf["iteration"].iloc[:1], "cuts": [np.unique(values[order][places])]})
+
+        drawn = rows.select("key", "m").withColumn("y", F.lit(0)).mapInPandas(quantiles, "key string, iteration int, n double, q array<double>")
+        found = drawn.groupBy("key", "iteration").applyInPandas(cuts, "key string, iteration int, cuts array<double>")
+        bounds = {(r["key"], r["iteration"]): np.array(r["cuts"]) for r in found.collect()}  # settings x folds x trees rows
+    shared = scored.sparkSession.sparkContext.broadcast(bounds)
+    none = np.empty(0)
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for name, k, values, positive in _margin_columns(batches):
+            distinct, p, q = _counted(values, positive, 1 - positive)
+            limits = shared.value.get((name, k), none)
+            ends = [0, *np.searchsorted(distinct, limits, side="left").tolist(), len(distinct)]
+            parts = [(r, slice(a, b)) for r, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+            yield pd.DataFrame({"key": name, "iteration": k, "range": [r for r, _ in parts],
+                                **{c: [x[part].tobytes() for _, part in parts] for c, x in (("v", distinct), ("p", p), ("q", q))}})
+
+    def judged(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, p, q = _counted(*(np.frombuffer(b"".join(pdf[c])) for c in ("v", "p", "q")))
+        above = p[::-1].cumsum()[::-1]
+        return pdf[["key", "iteration", "range"]].iloc[:1].assign(p=p.sum(), q=q.sum(), area=(q * (2 * above - p)).sum())
+
+    kind = "key string, iteration int, range int"
+    parts = (rows.mapInPandas(dealt, f"{kind}, v binary, p binary, q binary").groupBy("key", "iteration", "range")
+             .applyInPandas(judged, f"{kind}, p double, q double, area double"))
+    higher = Window.partitionBy("key", "iteration").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("p").over(higher), F.lit(0.0)))
+    whole = parts.groupBy("key", "iteration").agg(F.sum("p").alias("P"), F.sum("q").alias("N"), F.sum(F.col("area") + 2 * F.col("before") * F.col("q")).alias("a"))
+    auc = F.when(F.col("P") == 0, F.lit(0.0)).when(F.col("N") == 0, F.lit(1.0)).otherwise(F.col("a") / (2 * F.col("P") * F.col("N")))
+    named = told.select(*by, key).distinct()
+    return (whole.join(named, "key").select(*by, "iteration", (F.col("P") + F.col("N")).cast("long").alias("n"), auc.alias("roc_auc")))
 
 
 def best_round(curve: Sequence[float], patience: int) -> tuple[int, bool]:
