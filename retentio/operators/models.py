@@ -13,7 +13,6 @@ import json
 import math
 import os
 from dataclasses import dataclass, field
-from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -26,11 +25,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import risk_tier
 from ..schemas import CATEGORICAL, CHURN_COL, ID_COL, LTV_TARGET, MOCK_PROBABILITY, NUMERICAL, TIER_ONLINE
-from ..session import checkpoint_dir, cut_lineage, path_exists
+from ..session import checkpoint_dir, cut_lineage, path_exists, storage_memory
 from .clean import clean
 from .encode import EncoderState, fit_encoder
 from .features import create_features
-from .forest import best_round, staged_auc, staged_margins, vote_share
+from .forest import best_round, next_rounds, staged_auc, staged_margins, vote_share
 from .sparse import SparseEncoder
 
 # The reference's booster settings.
@@ -44,6 +43,8 @@ LTV_GBT = dict(maxIter=200, maxDepth=5, stepSize=0.05, subsamplingRate=0.8,
 _TREE_EXEC = dict(cacheNodeIds=False, checkpointInterval=10)
 #: training rows of one task: a boosted fit runs a short job for every level of every tree
 ROWS_PER_TASK = 20_000
+#: the same beyond ``FEW_TASKS`` tasks for the search's last fit, which runs alone: its tasks then outlast their start
+LONG_ROWS_PER_TASK, FEW_TASKS = 100_000, 8
 BASELINE_GBT_DEPTH = 4
 RF_STUMPS = dict(numTrees=100, maxDepth=1, featureSubsetStrategy="sqrt", bootstrap=True, seed=42)
 LTV_LEAKS = (LTV_TARGET, "charge_ratio", "charges_difference")
@@ -110,13 +111,13 @@ def _exec(kind: str) -> dict:
     return _TREE_EXEC if kind in ("gbt", "rf") else {}
 
 
-def _fit(estimator, train: DataFrame, kind: str, encode):
+def _fit(estimator, train: DataFrame, kind: str, encode, long_tasks: bool = False):
     """(encoder, model): ``encode`` gives the encoder fitted on the rows and their vectors, which the estimator takes.
 
     A boosted fit runs hundreds of short jobs, so its rows are dealt once, and their vectors are written to the shared
     checkpoint folder: every job else ships and walks the plan of the joins before them.
     """
-    rows = _dealt(train, kind)
+    rows = _dealt(train, kind, long_tasks)
     if kind != "gbt":
         enc, vectors = encode(rows)
         return enc, estimator.fit(vectors)
@@ -129,16 +130,19 @@ def _fit(estimator, train: DataFrame, kind: str, encode):
     return enc, estimator.fit(vectors)
 
 
-def _dealt(train: DataFrame, kind: str) -> DataFrame:
+def _dealt(train: DataFrame, kind: str, long_tasks: bool = False) -> DataFrame:
     """The rows for a boosted fit in even tasks of about ``ROWS_PER_TASK``, in an order of their own.
 
     The tasks follow the rows and not the partitions that the upstream joins leave, of which every level of every tree
     would start two tasks each. Rows are dealt by all columns, so that null or repeated ids do not meet in one task, and
-    sorted, so that MLlib's draws do not depend on the layout.
+    sorted, so that MLlib's draws do not depend on the layout. ``long_tasks`` deals many rows to fewer tasks.
     """
     if kind != "gbt":
         return train
-    tasks = max(1, math.ceil(train.count() / ROWS_PER_TASK))
+    rows = train.count()
+    tasks = max(1, math.ceil(rows / ROWS_PER_TASK))
+    if long_tasks:
+        tasks = min(tasks, max(FEW_TASKS, math.ceil(rows / LONG_ROWS_PER_TASK)))
     return train.repartition(tasks, *train.columns).sortWithinPartitions(*train.columns)
 
 
@@ -150,7 +154,7 @@ def _feature_frame(df: DataFrame, task: str) -> DataFrame:
 
 
 def train_churn(train: DataFrame, kind: str = "gbt", categorical=CATEGORICAL, numerical=NUMERICAL,
-                median: float | None = None, **overrides) -> FittedModel:
+                median: float | None = None, long_tasks: bool = False, **overrides) -> FittedModel:
     """MDL1/3/5/6/7: fit the encoder on the training rows, then the classifier."""
     cls, _, defaults = _CLASSIFIERS[kind]
     params = {**defaults, **overrides}
@@ -160,7 +164,7 @@ def train_churn(train: DataFrame, kind: str = "gbt", categorical=CATEGORICAL, nu
         enc = fit_encoder(_feature_frame(rows, "churn"), categorical, numerical)
         return enc, enc.vector(rows, keep=[CHURN_COL]).withColumnRenamed(CHURN_COL, "label")
 
-    enc, model = _fit(cls(featuresCol="features", labelCol="label", **params, **_exec(kind)), train, kind, encode)
+    enc, model = _fit(cls(featuresCol="features", labelCol="label", **params, **_exec(kind)), train, kind, encode, long_tasks)
     return FittedModel("churn", kind, enc, model, params, median)
 
 
@@ -235,49 +239,69 @@ CV_GRID = {"maxDepth": [4, 6], "maxIter": [100, 200], "stepSize": [0.05, 0.1]}
 CV_FOLDS = 3
 
 
+def _fit_bytes(rows: int, features: int) -> int:
+    """What a boosted fit keeps cached: the binned rows (one int a feature) and, a few times, their margins and counts."""
+    return rows * (4 * features + 250)
+
+
+def _side_by_side(parallelism: int, cores: int, tasks: int, fit_bytes: int, memory: int) -> int:
+    """How many fits run at once: more where a fit has few tasks, fewer where their cached rows would not fit into memory.
+
+    Rows that do not fit are read back from disk at every level of every tree, which costs more than idle cores do.
+    """
+    return max(1, min(max(parallelism, cores // max(1, tasks)), memory // max(1, fit_bytes)))
+
+
 def grid_search(train: DataFrame, grid: dict | None = None, folds: int = CV_FOLDS, parallelism: int = 4,
                 seed: int = 42, patience: int = 20, median: float | None = None, first_rounds: int = 40):
     """MDL8: k-fold grid search on the ROC-AUC after every tree, stopped after ``patience`` rounds without a gain.
 
     Fold membership is a seeded hash of the id (deterministic across runs and layouts). A boosted model's first k trees
     are the model of k rounds, so settings that differ in ``maxIter`` alone share one fit per fold, and all prefixes of
-    all folds are judged in one job. Fits begin with ``first_rounds`` trees; a setting whose mean curve has not stopped
-    is fitted with twice as many, up to the largest ``maxIter``. The best setting (the first of equals) is refitted on
-    all training rows with as many trees as its best round.
+    a fit are judged in one job, straight from its trees. Fits begin with ``first_rounds`` trees, on one fold: where its
+    curve still rises at its end, all folds are fitted with the largest ``maxIter`` at once, as MLlib cannot go on from a
+    fitted ensemble. A setting whose mean curve has not stopped is fitted anew with more trees. The best setting (the
+    first of equals) is refitted on all training rows with as many trees as its best round.
     Returns (best FittedModel, [{params, mean_auc, best_iteration}, ...] in grid order).
     """
     grid = dict(grid or CV_GRID)
     limits = grid.setdefault("maxIter", [CHURN_GBT["maxIter"]])
     most = max(limits)
     enc = fit_encoder(_feature_frame(train, "churn"), CATEGORICAL, NUMERICAL)
+    spark = train.sparkSession
     data = cut_lineage(enc.vector(train, keep=[ID_COL, CHURN_COL]).withColumnRenamed(CHURN_COL, "label").withColumn(
         "fold", F.pmod(F.xxhash64(F.lit(seed), F.col(ID_COL)), F.lit(folds)).cast("int")))
     names = [k for k in grid if k != "maxIter"]
     cells = list(product(*(grid[k] for k in names)))
     base = {k: v for k, v in CHURN_GBT.items() if k not in grid}
+
+    def held_out(job) -> list[float]:
+        cell, fold, rounds = job
+        gbt = MC.GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, **base,
+                               **dict(zip(names, cell)), **_TREE_EXEC)
+        scored = staged_margins(gbt.fit(data.where(F.col("fold") != fold)), data.where(F.col("fold") == fold))
+        told = staged_auc(scored.select("fold", "label", "margins"), ["fold"]).orderBy("iteration")
+        return [r["roc_auc"] for r in told.collect()]  # one row a round
+
+    lanes = _side_by_side(parallelism, spark.sparkContext.defaultParallelism, data.rdd.getNumPartitions(),
+                          _fit_bytes(data.count(), len(enc.feature_columns)), storage_memory(spark))
+    fitted: dict[tuple, tuple[int, list[float]]] = {}  # (cell, fold): rounds, AUC after each on the held-out rows
     curves: dict[tuple, list[float]] = {}
-    rounds = min(first_rounds, most)
-    while len(curves) < len(cells):
-        todo = [c for c in cells if c not in curves]
-
-        def held_out(job):
-            cell, fold = job
-            gbt = MC.GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, **base,
-                                   **dict(zip(names, cell)), **_TREE_EXEC)
-            rows = data.where(F.col("fold") == fold)
-            scored = staged_margins(gbt.fit(data.where(F.col("fold") != fold)), rows)
-            return scored.select(F.lit(cells.index(cell)).alias("cell"), "fold", "label", "margins")
-
-        with ThreadPool(parallelism) as pool:
-            parts = pool.map(held_out, [(c, f) for c in todo for f in range(folds)])
-        scored = cut_lineage(reduce(DataFrame.unionByName, parts))
-        mean = staged_auc(scored, ["cell", "fold"]).groupBy("cell", "iteration").agg(F.avg("roc_auc").alias("auc"))
-        told = mean.orderBy("cell", "iteration").collect()  # settings x rounds rows
-        for c in todo:
-            curve = [r["auc"] for r in told if r["cell"] == cells.index(c)]
-            if rounds >= most or best_round(curve, patience)[1]:
-                curves[c] = curve
-        rounds = min(2 * rounds, most)
+    wanted = {c: min(first_rounds, most) for c in cells}
+    jobs = [(c, 0, wanted[c]) for c in cells]
+    while jobs:
+        with ThreadPool(min(lanes, len(jobs))) as pool:
+            for (c, f, rounds), curve in zip(jobs, pool.map(held_out, jobs, chunksize=1)):
+                fitted[c, f] = (rounds, curve)
+        for c in (c for c in cells if c not in curves):
+            mine = [fitted[c, f] for f in range(folds) if (c, f) in fitted]
+            mean = [math.fsum(at) / len(at) for at in zip(*(curve for _, curve in mine if curve))]
+            stopped = wanted[c] >= most or best_round(mean, patience)[1]
+            if len(mine) == folds and min(rounds for rounds, _ in mine) >= wanted[c] and stopped:
+                curves[c] = mean
+            elif not stopped and (mean or len(mine) == folds):  # the first fold may be empty
+                wanted[c] = next_rounds(mean, wanted[c], most, patience)
+        jobs = [(c, f, wanted[c]) for c in cells if c not in curves for f in range(folds) if fitted.get((c, f), (0,))[0] < wanted[c]]
     results = []
     for values in product(*grid.values()):
         params = dict(zip(grid, values))
@@ -285,5 +309,6 @@ def grid_search(train: DataFrame, grid: dict | None = None, folds: int = CV_FOLD
         best, _ = best_round(curve, patience)
         results.append({"params": params, "mean_auc": curve[best - 1], "best_iteration": best})
     top = max(results, key=lambda r: r["mean_auc"])
-    model = train_churn(train, "gbt", median=median, **{**top["params"], "maxIter": top["best_iteration"]})
+    model = train_churn(train, "gbt", median=median, long_tasks=True,
+                        **{**top["params"], "maxIter": top["best_iteration"]})
     return model, results

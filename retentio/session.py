@@ -81,6 +81,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def storage_memory(spark: SparkSession) -> int:
+    """Bytes that the executors of now can hold cached; on a cluster the driver keeps no partitions."""
+    driver = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().blockManagerId()
+    found = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().iterator()
+    held = {}
+    while found.hasNext():
+        at = found.next()
+        held[at._1()] = at._2()._1()
+    if len(held) > 1:
+        held.pop(f"{driver.host()}:{driver.port()}", None)
+    return sum(held.values())
+
+
 def _path(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
