@@ -20,7 +20,7 @@ from pyspark import StorageLevel
 from pyspark.ml import classification as MC
 from pyspark.ml import regression as MR
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import risk_tier
@@ -120,7 +120,7 @@ def _fit(estimator, train: DataFrame, kind: str, encode, long_tasks: bool = Fals
     rows = _dealt(train, kind, long_tasks)
     if kind != "gbt":
         enc, vectors = encode(rows)
-        return enc, estimator.fit(vectors)
+        return enc, _without_summary(estimator.fit(vectors))
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         enc, vectors = encode(rows)
@@ -130,6 +130,13 @@ def _fit(estimator, train: DataFrame, kind: str, encode, long_tasks: bool = Fals
     return enc, estimator.fit(vectors)
 
 
+def _without_summary(model):
+    """The model without its training summary, which holds the session: once a write was observed in it, that cannot be sent to tasks."""
+    if getattr(model, "hasSummary", False):
+        model._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
+
+
 def _dealt(train: DataFrame, kind: str, long_tasks: bool = False) -> DataFrame:
     """The rows for a boosted fit in even tasks of about ``ROWS_PER_TASK``, in an order of their own.
 
